@@ -62,3 +62,27 @@ def p5_found(spark, d):
 @query("p9_found")
 def p9_found(spark, d):
     return leakage.found(spread(read(spark, d, "documents")), read(spark, d, "eval_items"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    from mimansa.llm import canonical
+
+    return canonical.found(spread(read(spark, d, "medicines")), spread(read(spark, d, "medicine_records")), read(spark, d, "dosage_forms"))
+
+
+SURROGATE_KEY = "mimansa-demo-key"
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    from mimansa.llm import personal
+
+    return personal.found(spread(read(spark, d, "documents")))
+
+
+@query("p10_redacted")
+def p10_redacted(spark, d):
+    from mimansa.llm import personal
+
+    return personal.redacted(spread(read(spark, d, "documents")), spark.conf.get("mimansa.surrogate.key", SURROGATE_KEY))
