@@ -86,3 +86,17 @@ def p10_redacted(spark, d):
     from mimansa.llm import personal
 
     return personal.redacted(spread(read(spark, d, "documents")), spark.conf.get("mimansa.surrogate.key", SURROGATE_KEY))
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    from mimansa.llm import language
+
+    return language.found(spread(read(spark, d, "zone_docs")), read(spark, d, "lang_labels"))
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    from mimansa.llm import boilerplate
+
+    return boilerplate.found(spread(read(spark, d, "stored_pages")), spread(read(spark, d, "zone_docs")))
