@@ -100,3 +100,10 @@ def p7_found(spark, d):
     from mimansa.llm import boilerplate
 
     return boilerplate.found(spread(read(spark, d, "stored_pages")), spread(read(spark, d, "zone_docs")))
+
+
+@query("p8_ids")
+def p8_ids(spark, d):
+    from mimansa.llm import tokens
+
+    return tokens.encoded(spread(read(spark, d, "documents")))
