@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,55 +27,56 @@ MENU = (
     "|feedback|login|log in|register|search|skip to main content|skip to content|skip navigation|archive|help|accessibility statement|terms of use|privacy policy|hyperlink policy"
     "|back to top|top|menu|news|events|services|media|press|blog|forum|notifications?|circulars?|accept all|reject|accept|print|save|share|send to a friend|yes|no|मुखपृष्ठ|होम|संपर्क"
 )
-PHRASES = (
-    # cookie notes
-    r"\bcookies? (?:to|policy|settings|notice)\b|\b(?:we|site|portal|website|pages?) (?:use|uses|keeps?|stores?|sets?) (?:cookies|small files)|keep cookies|small files on your device|by (?:staying|continuing|using)\b.{0,40}\byou agree|accept all|कुकीज़?"
+# All are matched against lower-cased lines. STARTS: what a furniture line begins with, or the whole line where it says $.
+STARTS = (
     # bylines and dates
-    r"|^(?:by|from) the .{2,60}\b(?:desk|team|bureau|staff)$|^(?:written|compiled|edited|reported|prepared) (?:for|by) |^reviewed by |\b(?:staff reporters?|editorial cell|content board|web desk)\b|last (?:updated|reviewed|modified)|^updated (?:on|:)|^(?:posted|published) on\b|form revision|^(?:version|revision)\b.{0,12}\d"
-    r"|हमारी वेब टीम|वेब टीम ने|संपादकीय|अंतिम बार अपडेट|संपादन मंडळ"
+    r"(?:by|from) the .{2,60}\b(?:desk|team|bureau|staff)$|(?:written|compiled|edited|reported|prepared) (?:for|by) |reviewed by |updated (?:on|:)|(?:posted|published) on\b|(?:version|revision)\b.{0,12}\d"
     # share and subscription prompts
-    r"|^share (?:this|on|via)|^follow .{2,60}\b(?:updates|us|on)\b|like what you read|tell your friends|\bnewsletter\b|^subscribe\b|^sign up\b|download our app|our app from|mobile number to get|get alerts\b|send to a friend|^print\b.{0,12}[|/]|to advertise|sales team|printed edition"
-    r"|साझा करें|शेयर करें|सदस्यता लें|ऐप डाउनलोड|से जुड़ने के लिए|अ‍ॅप डाउनलोड|ਸਾਂਝਾ|শেয়ার করুন|பகிர"
-    # comments and ratings
-    r"|\d+ comments?\b|be the first to|post a comment|leave a (?:comment|reply)|log in to|was this (?:page|information|article) (?:helpful|useful)|rate this|टिप्पणी"
-    # links to other pages
-    r"|^(?:related|previous|next|also read|read also|read more|see also|you may also like|sponsored|advertisement|more like this|recommended)\s*[:\-–—]|^»|^(?:quick links|trending now|more from|related (?:articles|links|stories)|most (?:read|popular)|latest (?:news|posts)|popular posts|in this section|recommended)\b.{0,30}$"
-    r"|^(?:यह भी पढ़ें|अगला|पिछला|संबंधित|और पढ़ें|पुढील|मागील|हेही वाचा|संबंधित लेख|আরও পড়ুন|পরবর্তী|পূর্ববর্তী|সম্পর্কিত|மேலும் படிக்க|அடுத்து|முந்தைய|தொடர்புடைய)(?:\s*[:\-–—]|$)|^संबंधित लेख|^(?:संबंधित|সম্পর্কিত|தொடர்புடைய)\s+\S+$"
+    r"|share (?:this|on|via)|follow .{2,60}\b(?:updates|us|on)\b|subscribe\b|sign up\b|print\b.{0,12}[|/]"
+    # links to other pages, with their headings
+    r"|(?:related|previous|next|also read|read also|read more|see also|you may also like|sponsored|advertisement|more like this|recommended)\s*[:\-–—]|»|(?:quick links|trending now|more from|related (?:articles|links|stories)|most (?:read|popular)|latest (?:news|posts)|popular posts|in this section|recommended)\b.{0,30}$"
+    r"|(?:यह भी पढ़ें|अगला|पिछला|संबंधित|और पढ़ें|पुढील|मागील|हेही वाचा|संबंधित लेख|আরও পড়ুন|পরবর্তী|পূর্ববর্তী|সম্পর্কিত|மேலும் படிக்க|அடுத்து|முந்தைய|தொடர்புடைய)(?:\s*[:\-–—]|$)|संबंधित लेख|(?:संबंधित|সম্পর্কিত|தொடர்புடைய)\s+\S+$"
     # breadcrumbs
-    r"|^you are here\b|^(?:home|मुखपृष्ठ|होम|প্রচ্ছদ|முகப்பு)\s*(?:>|»|/|›)"
-    # notices about the site and its owner, counters, footers
-    r"|(?:©|\(c\)|copyright)\s*\d{4}|all rights reserved|^copyright\b|(?:designed|hosted|developed|maintained|powered) (?:and \w+ )?by\b|best viewed|accessibility statement|terms of use|privacy policy|hyperlink policy|content owned|written permission|disclaimer|accepts? no liability|information on this (?:site|portal|website)|on this (?:site|portal|website) is|does not replace advice|may change without notice"
-    r"|private initiative|in no way connected|^about us\s*[:\-]|was set up to|run by volunteers|visitors? (?:so far|number|count)|you are visitor|^helpline\b|helpline of|toll free .{0,20}of this site|back to top|of these pages|on these pages"
-    r"|पूरी सामग्री|लिखित अनुमति|की संपत्ति|सर्वाधिकार|कॉपीराइट|हेल्पलाइन|सर्व हक्क|স্বত্ব|পদিপত্র|காப்புரிமை"
-)
-# Pieces of which every phrase above holds one; a line without any needs no closer look.
-PIECES = (
-    "cookie|small files|agree|accept all|कुकी|the |desk|team|bureau|staff|written|compiled|edited|reported|prepared|reviewed|cell|board|updated|modified|posted|published|form revision|version|revision|वेब टीम|संपाद|अपडेट"
-    "|share|follow|like what you|friend|newsletter|subscribe|sign up|our app|alerts|print|advertise|साझा|शेयर|सदस्यता|ऐप डाउन|से जुड़ने|अ‍ॅप|শেয়ার|பகிர|comment|be the first|log in|was this|rate this|टिप्पणी"
-    "|related|previous|next|also|read|sponsored|advertis|more like|recommended|»|quick links|trending|more from|most |latest|popular|in this section|यह भी|अगला|पिछला|संबंधित|और पढ़ें|पुढील|मागील|हेही|আরও|পরবর্তী|পূর্ববর্তী|সম্পর্কিত|மேலும்|அடுத்து|முந்தைய|தொடர்புடைய"
-    "|you are here|home|मुखपृष्ठ|होम|প্রচ্ছদ|முகப்பு|©|(c)|copyright|rights reserved|designed|hosted|developed|maintained|powered|best viewed|accessibility|terms of use|privacy policy|hyperlink|content owned|permission|disclaimer|liability|this site|this portal|this website|does not replace|may change"
-    "|private initiative|connected with|about us|was set up|volunteers|visitor|helpline|toll free|back to top|these pages|सामग्री|अनुमति|संपत्ति|सर्वाधिकार|कॉपीराइट|हेल्पलाइन|सर्व हक्क|স্বত্ব|காப்புரிமை"
+    r"|you are here\b|(?:home|मुखपृष्ठ|होम|প্রচ্ছদ|முகப்பு)\s*(?:>|»|/|›)"
+    # notices and footers
+    r"|copyright\b|about us\s*[:\-]|helpline\b|disclaimer"
 )
+# Phrases that stand anywhere in a furniture line; the first of each pair is a piece that every match holds.
+ANYWHERE = [
+    ("cookie", r"\bcookies? (?:to|policy|settings|notice)\b|\b(?:use|uses|keeps?|stores?|sets?) cookies"), ("small files", r"small files on your device"), ("session files", r"browser keeps session files"),
+    ("you agree", r"by (?:staying|continuing|using)\b.{0,40}\byou agree"), ("accept all", r"accept all"), ("कुकी", r"कुकीज़?"),
+    ("staff report", r"\bstaff reporters?\b"), ("editorial cell", r"editorial cell"), ("content board", r"content board"), ("web desk", r"web desk"),
+    ("last ", r"\blast (?:updated|reviewed|modified)\b"), ("form revision", r"form revision"), ("वेब टीम", r"वेब टीम"), ("संपादकीय", r"संपादकीय"), ("अंतिम बार", r"अंतिम बार अपडेट"), ("संपादन मंडळ", r"संपादन मंडळ"),
+    ("like what you read", r"like what you read"), ("tell your friends", r"tell your friends"), ("newsletter", r"\bnewsletter\b"), ("our app", r"download our app|our app from"), ("alerts", r"\bget alerts\b|\balerts$"),
+    ("mobile number to", r"mobile number to get"), ("send to a friend", r"send to a friend"), ("to advertise", r"to advertise"), ("sales team", r"sales team"), ("printed edition", r"printed edition"),
+    ("साझा करें", r"साझा करें"), ("शेयर करें", r"शेयर करें"), ("सदस्यता लें", r"सदस्यता लें"), ("ऐप डाउनलोड", r"ऐप डाउनलोड"), ("से जुड़ने के लिए", r"से जुड़ने के लिए"), ("अ‍ॅप डाउनलोड", r"अ‍ॅप डाउनलोड"), ("শেয়ার করুন", r"শেয়ার করুন"), ("பகிர", r"பகிர"),
+    ("comment", r"\d+ comments?\b|post a comment|leave a comment"), ("be the first to", r"be the first to"), ("leave a reply", r"leave a reply"), ("log in to", r"log in to"), ("was this", r"was this (?:page|information|article) (?:helpful|useful)"),
+    ("rate this", r"rate this"), ("टिप्पणी", r"टिप्पणी"),
+    ("©", r"©\s*\d{4}"), ("(c)", r"\(c\)\s*\d{4}"), ("rights reserved", r"all rights reserved"), ("designed ", r"designed (?:and \w+ )?by\b"), ("hosted by", r"hosted by\b"), ("developed ", r"developed (?:and \w+ )?by\b"), ("maintained by", r"maintained by\b"),
+    ("powered by", r"powered by\b"), ("best viewed", r"best viewed"), ("accessibility statement", r"accessibility statement"), ("terms of use", r"terms of use"), ("privacy policy", r"privacy policy"), ("hyperlink policy", r"hyperlink policy"), ("content owned", r"content owned"),
+    ("written permission", r"written permission"), ("no liability", r"accepts? no liability"), ("on this site", r"on this site is|information on this site"), ("on this portal", r"on this portal is|information on this portal"), ("on this website", r"on this website is|information on this website"),
+    ("does not replace advice", r"does not replace advice"), ("may change without notice", r"may change without notice"), ("private initiative", r"private initiative"), ("in no way connected", r"in no way connected"), ("was set up to", r"was set up to"), ("run by volunteers", r"run by volunteers"),
+    ("visitor", r"visitors? (?:so far|number|count)|you are visitor"), ("helpline of", r"helpline of"), ("back to top", r"back to top"), ("these pages", r"(?:of|on) these pages"),
+    ("पूरी सामग्री", r"पूरी सामग्री"), ("लिखित अनुमति", r"लिखित अनुमति"), ("की संपत्ति", r"की संपत्ति"), ("सर्वाधिकार", r"सर्वाधिकार"), ("कॉपीराइट", r"कॉपीराइट"), ("हेल्पलाइन", r"हेल्पलाइन"), ("सर्व हक्क", r"सर्व हक्क"), ("স্বত্ব", r"স্বত্ব"), ("காப்புரிமை", r"காப்புரிமை"),
+]
 
 
 def _pieces() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for piece in set(PIECES.split("|")) - {"the ", "read", "most ", "next", "also"} | {"by the ", "from the ", "read", "most ", "next", "also "}:
-        found.add_word(piece, piece)
+    for piece, phrase in ANYWHERE:
+        found.add_word(piece, re.compile(phrase))
     found.make_automaton()
     return found
 
 
 _PIECES = _pieces()
-_FURNITURE = re.compile(PHRASES, re.I)
-_MENU = re.compile(rf"(?:\W*(?:{MENU})(?!\w))+\W*", re.I)
-_BULLET = re.compile(r"^(?:[-*•·–▪◦]|\(?\d{1,3}[.)]|[a-z][.)])\s+\S", re.I)
+_STARTS = re.compile(STARTS)
+_MENU = re.compile(rf"(?:\W*(?:{MENU})(?!\w))+\W*")
+_BULLET = re.compile(r"(?:[-*•·–▪◦]|\(?\d{1,3}[.)]|[a-z][.)])\s+\S", re.I)
 _ROW = re.compile(r"\S\s*\|\s*\S.*\|\s*\S|\S\s+[-:]\s+\S.*\S\s+[-:]\s+\S|\t\S")
-_END = re.compile(r"[.?!।॥…:;][\"'”’»)\]]*$")
 _TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|</?[a-zA-Z][^<>\n]{0,200}>", re.S)
-_SPACE = re.compile(r"\s+")
 #: Lines that name a site's owner, with the name behind.
-_OWNER = re.compile(r"(?:©|\(c\)|copyright)\s*\d{4}\s+([^,|.]{4,60})|(?:powered|designed and hosted|content owned|designed|hosted|maintained) by\s+([^,|.]{4,60}?)(?:\s+web services)?$|helpline of\s+([^:,|.]{4,60})|visitor number \d+ of\s+([^,|.]{4,60})|last reviewed on \S+ by\s+([^,|.]{4,60})", re.I)
+_OWNER = re.compile(r"(?:©|\(c\)|copyright)\s*\d{4}\s+([^,|.]{4,60})|(?:powered|designed and hosted|content owned|designed|hosted|maintained) by\s+([^,|.]{4,60}?)(?:\s+web services)?$|helpline of\s+([^:,|.]{4,60})|visitor number \d+ of\s+([^,|.]{4,60})|last reviewed on \S+ by\s+([^,|.]{4,60})")
 
 
 def lines_of(text: str) -> list[str]:
@@ -84,43 +85,44 @@ def lines_of(text: str) -> list[str]:
         text = _TAG.sub(lambda m: "\n" * m[0].count("\n"), text)
     if "&" in text:
         text = html.unescape(text)
-    return [_SPACE.sub(" ", line).strip() for line in text.split("\n")]
+    return [" ".join(line.split()) for line in text.split("\n")]
+
 
+def said_by_furniture(low: str) -> bool:
+    """Whether a lower-cased line is furniture by its words; phrases are looked for where one of their pieces stands."""
+    return _STARTS.match(low) is not None or any(phrase.search(low) for _, phrase in _PIECES.iter(low)) or len(low) < 300 and _MENU.fullmatch(low) is not None
 
-def suspicious(line: str) -> bool:
-    return next(_PIECES.iter(line), None) is not None
+
+def is_sentence(line: str) -> bool:
+    return line.rstrip("\"'”’»)]")[-1:] in tuple(".?!।॥…:;") and line != ""
 
 
 def site_names(lines: list[str]) -> set[str]:
-    return {next(g for g in m.groups() if g).strip().lower() for line in lines if (m := _OWNER.search(line))}
+    return {next(g for g in m.groups() if g).strip() for line in lines if (m := _OWNER.search(line))}
 
 
 def content(text: str, title: str | None = None) -> list[bool]:
     """For every line whether it is main content; blank lines are not."""
     lines = lines_of(text)
     low = [line.lower() for line in lines]
-    closer = [bool(line) and suspicious(line) for line in low]
-    names = [n for n in site_names([line for line, c in zip(lines, closer) if c]) if len(n.split()) > 1]
-    own = _SPACE.sub(" ", title).strip().lower() if isinstance(title, str) else ""
-    crumbs = [re.split(r"\s*(?:>|»|›| / )\s*", line)[-1] for line, c in zip(low, closer) if c and re.match(r"(?:you are here\b|home\b|मुखपृष्ठ|होम)", line) and re.search(r">|»|›| / ", line)]
+    said = [bool(line) and said_by_furniture(line) for line in low]
+    names = [n for n in site_names([line for line, f in zip(low, said) if f]) if len(n.split()) > 1]
+    own = " ".join(title.split()).lower() if isinstance(title, str) else ""
+    crumbs = [re.split(r"\s*(?:>|»|›| / )\s*", line)[-1] for line, f in zip(low, said) if f and re.match(r"(?:you are here\b|home\b|मुखपृष्ठ|होम)", line) and re.search(r">|»|›| / ", line)]
     heading = {own, *crumbs} & {line for line in low if line and not _MENU.fullmatch(line)}
     n = len(lines)
-    furniture = np.zeros(n, dtype=bool)
-    mass = np.zeros(n)
-    for i, line in enumerate(lines):
-        if not line:
-            continue
-        furniture[i] = low[i] not in heading and bool(closer[i] and _FURNITURE.search(line) or len(line) < 300 and _MENU.fullmatch(line) or any(name in low[i] for name in names))
-        if not furniture[i]:
-            mass[i] = len(line)
+    furniture = [low[i] not in heading and (said[i] or any(name in low[i] for name in names)) for i in range(n)]
+    mass = [0 if furniture[i] else len(lines[i]) for i in range(n)]
     at = [i for i in range(n) if lines[i]]
     kept = [False] * n
     if not at:
         return kept
     # sums over windows of lines that hold text; a line is in a surge where a window over it is full and has a sentence
-    m, whole = mass[at], np.array([bool(_END.search(lines[i])) or mass[i] >= SURGE for i in at])
-    before = [m[max(0, j - WINDOW + 1) : j + 1].sum() for j in range(len(at))]
-    after = [m[j : j + WINDOW].sum() for j in range(len(at))]
+    m = [mass[i] for i in at]
+    whole = [mass[i] >= SURGE or is_sentence(lines[i]) for i in at]
+    sums = [0, *accumulate(m)]
+    before = [sums[j + 1] - sums[max(0, j - WINDOW + 1)] for j in range(len(at))]
+    after = [sums[min(len(at), j + WINDOW)] - sums[j] for j in range(len(at))]
     strong = [j for j in range(len(at)) if m[j] and whole[j] and max(before[j], after[j]) >= SURGE]
     surge, dive = (strong[0], strong[-1]) if strong else (len(at), -1)
     # lists, tables and short lines that touch the content belong to it
@@ -135,7 +137,7 @@ def content(text: str, title: str | None = None) -> list[bool]:
             continue
         line = lines[i]
         inside = surge <= j <= dive
-        listed = line.endswith(":") or _BULLET.match(line) or _ROW.search(line)
+        listed = line.endswith(":") or _BULLET.match(line) or len(line) < 300 and _ROW.search(line)
         first = j < surge and not headed  # the page's heading, with furniture between it and the content
         kept[i] = bool(inside or listed or low[i] in heading or first or listing and not whole[j])
         headed = headed or not listed
