@@ -2,7 +2,7 @@
 
 Words are cut in Spark by the tokenizer's own pattern. Documents fall into buckets of bounded text by hash of their id;
 the distinct words of the buckets are made distinct over the corpus, each is encoded once, and the ids go back to the
-buckets that hold the word. There every document reads its words by position, as lengths along its text. Neither side
+buckets that hold the word. There every document reads its words by position, along its text. Neither side
 of the last step can grow with the corpus: a bucket holds BUCKET_CHARS of text (or one longer text) and its words.
 
 Null and empty texts both have the empty list of ids. Text that looks like a special token is plain text.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text in a bucket.
 BUCKET_CHARS = 6_000_000
+#: Stands between words on the way.
+MARK = "\x01"
 # Fixed value: the published word pattern of byte-level BPE, with Unicode white space.
 PATTERN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,30 +56,38 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def _width(path: str) -> np.dtype:
+    """Ids travel as plain numbers of two bytes where all fit."""
+    return np.dtype("<u2") if max(ranks(path).values()) < 1 << 16 else np.dtype("<u4")
+
+
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode, kind = encoder(path).encode_ordinary, _width(path)
         for batch in batches:
-            ids = [encode(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            ids = [np.array(encode(w), dtype=kind).tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
 
     return run
 
 
 def _assemble(path: str):
+    kind = _width(path)
+
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        index = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        lists = table.column("ids").combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
-        starts, counts = offsets[:-1], np.diff(offsets)
+        words = table.column("word").to_pylist()
+        index = {w: i for i, w in enumerate(words)}
+        packed = table.column("ids").to_pylist()
+        flat = np.frombuffer(b"".join(packed), dtype=kind)
+        counts = np.array([len(p) // kind.itemsize for p in packed], dtype=np.int64)
+        starts = np.cumsum(counts) - counts
         out_ids, out_offsets = [], [0]
-        for text, lengths in zip(docs.column("text").to_pylist(), docs.column("lengths")):
-            cut = np.cumsum(lengths.values.to_numpy(zero_copy_only=False)) if lengths.is_valid and len(lengths.values) else np.zeros(0, dtype=np.int64)
-            at, mine = 0, []
-            for end in cut.tolist():
-                mine.append(index[text[at:end]])
-                at = end
+        for cut, text, lengths in zip(docs.column("cut").to_pylist(), docs.column("text").to_pylist(), docs.column("lengths")):
+            if cut is not None:
+                mine = [index[w] for w in cut.split(MARK)] if cut else []
+            else:
+                ends = np.cumsum(lengths.values.to_numpy(zero_copy_only=False)).tolist()
+                mine = [index[text[a:b]] for a, b in zip([0, *ends], ends)]
             which = np.array(mine, dtype=np.int64)
             n = counts[which]
             total = int(n.sum())
@@ -92,15 +102,22 @@ def _assemble(path: str):
 
 
 def encoded(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids of every row; rows that repeat a doc_id are each encoded."""
+    """doc_id, ids of every row; rows that repeat a doc_id are each encoded.
+
+    A document travels once, as its words with a mark between, or with their lengths if the text holds the mark itself.
+    """
     path = path or vocabulary_path()
     size = docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_CHARS))
     placed = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    pairs = placed.select("bucket", F.explode(F.array_distinct(words_of("text"))).alias("word")).distinct()
-    table = pairs.select("word").distinct().mapInArrow(_encode_words(path), "word string, ids array<int>")
+    pairs = placed.select("bucket", F.explode(F.array_distinct(words_of("text"))).alias("word")).where(F.col("word").isNotNull()).distinct()
+    # buckets are counted so that both readers of the pairs need all of them and share one shuffle
+    table = pairs.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") > 0).select("word").mapInArrow(_encode_words(path), "word string, ids binary")
     per_bucket = pairs.join(table, "word").select(F.col("bucket").alias("its_bucket"), "word", "ids")
-    cut = placed.select("bucket", "doc_id", "text", F.transform(words_of("text"), F.length).alias("lengths"))
+    marked = F.contains("text", F.lit(MARK))
+    cut = placed.select(
+        "bucket", "doc_id", F.when(~marked, F.array_join(words_of("text"), MARK)).alias("cut"), F.when(marked, F.col("text")).alias("text"), F.when(marked, F.transform(words_of("text"), F.length)).alias("lengths")
+    )
     return cut.groupBy("bucket").cogroup(per_bucket.groupBy("its_bucket")).applyInArrow(_assemble(path), "doc_id long, ids array<int>")
 
 
