@@ -245,5 +245,7 @@ def common_strengths(medicines: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def converted(df: DataFrame, text: str, name: str | Column | None = None) -> DataFrame:
-    """All rows of `df` that state a quantity in column `text`, with `unit` and `amount` added."""
-    return convert(df.withColumn("_q", read_text(F.col(text), F.lit(None).cast("string") if name is None else F.col(name) if isinstance(name, str) else name))).select(*[F.col(c) for c in df.columns if c not in ("unit", "amount")], "unit", "amount")
+    """All rows of `df` that state a quantity in column `text`, with `unit` and `amount` in place of columns so named."""
+    named = F.lit(None).cast("string") if name is None else F.col(name) if isinstance(name, str) else name
+    kept = [c for c in df.columns if c not in ("unit", "amount")]
+    return convert(df.select(*kept, read_text(F.col(text), named).alias("_q"))).select(*kept, "unit", "amount")

@@ -38,6 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has no more than `rows` rows, else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_safe_join(big: DataFrame, small: DataFrame, on: list[str], rows_per_key: str, hot: int = HOT_KEY_ROWS) -> DataFrame:
     """Inner join for a `small` side with unique keys of which some may own a large part of `big`.
 
