@@ -2,15 +2,17 @@
 
 The model is trained here, by stochastic gradient descent in numpy, on a bounded sample of labelled documents: the first
 DOCS_PER_LANGUAGE of each language by hash of the id and of those SEGMENTS_PER_LANGUAGE segments. Labels are noisy and
-pages carry the same foreign lines under every label, so a sentence counts for a label only if its frame (the sentence
-without names and numbers) stands mostly under that one; a first model then drops the segments that plainly contradict
-their label, names the language of the frames that stand under many, where it is sure, and a second is trained on both.
+pages carry the same foreign lines under every label, so a sentence counts for a label only if it does not stand word
+for word in several documents, its frame (the sentence without names and numbers) stands mostly under that label, and
+function words do not vote for another language. A first model then drops the segments that plainly contradict their
+label, names the language of frames that stand under many labels, where it is sure, and a second is trained on both.
 Names carry no language, so capitalised words are left out where enough others stand beside them. A language whose
-labelled documents are in one script is only ever given to segments in that script. Confidence is the
-softmax with a temperature fitted on held-out documents; a segment below MIN_CONFIDENCE is rejected and has no say.
+labelled documents are in one script is only ever given to segments in that script.
 
-A text is cut into sentences, and where a sentence mixes scripts, into stretches of one. Every segment adds its letters
-to its language, and a line, a title or a text has the language with the most letters, whole texts being read.
+Confidence is the softmax with a temperature fitted on held-out documents; a segment below MIN_CONFIDENCE is rejected
+and has no say. A text is cut into sentences, and where a sentence mixes scripts, into stretches of one. Every segment
+adds its letters to its language, and a line, a title or a text has the language with the most letters, whole texts
+being read.
 """
 
 from __future__ import annotations
@@ -213,6 +215,16 @@ def seed_sentences(seed: int) -> list[tuple[int, str]]:
     return [(LANGS.index(lang), " ".join(rng.choice(words.split(), rng.integers(3, 9)))) for lang, words in SEEDS.items() for _ in range(SEED_SENTENCES)]
 
 
+_SEED_WORDS = {lang: set(words.split()) for lang, words in SEEDS.items()}
+
+
+def vote(segment: str) -> str | None:
+    """The language with the most function words in a segment, if one has more than all others."""
+    words = re.findall(r"[^\s\d.,;:!?|/()\"]+", segment.lower())
+    counts = sorted(((sum(w in own for w in words), lang) for lang, own in _SEED_WORDS.items()), reverse=True)
+    return counts[0][1] if counts[0][0] > counts[1][0] else None
+
+
 def _fit(texts: list[str], labels: np.ndarray, scripts: np.ndarray, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
@@ -261,7 +273,7 @@ def train(sample: list[tuple[str, str, str]], seed: int = 7) -> Model:
     scripts[0] = True
     scripts[5] |= ~scripts[5].any()
     fits = lambda s, lang: scripts[script_of(s), LANGS.index(lang)]
-    own = lambda s, lang: fits(s, lang) and repeated[_same(s)] < FURNITURE_DOCS and under[frame(s)][lang] >= OWN_SHARE * sum(v for k, v in under[frame(s)].items() if fits(s, k))
+    own = lambda s, lang: fits(s, lang) and vote(s) in (None, lang) and repeated[_same(s)] < FURNITURE_DOCS and under[frame(s)][lang] >= OWN_SHARE * sum(v for k, v in under[frame(s)].items() if fits(s, k))
     fit: dict[str, list[str]] = {lang: [] for lang in LANGS}
     held: dict[str, list[str]] = {lang: [] for lang in LANGS}
     shared: dict[str, str] = {}
@@ -273,6 +285,10 @@ def train(sample: list[tuple[str, str, str]], seed: int = 7) -> Model:
                     side[lang].append(p)
             elif len(shared) < 2 * SEGMENTS_PER_LANGUAGE:
                 shared.setdefault(frame(p), p)
+    taught = {lang for lang in LANGS if fit[lang]}
+    for n, lang, parts in cut:  # a language whose every sentence repeats is taught by those
+        if n % 5 and lang not in taught and len(fit[lang]) < SEGMENTS_PER_LANGUAGE:
+            fit[lang] += [p for p in parts if fits(p, lang)]
     seeds = seed_sentences(seed)
     texts = [s for lang in LANGS for s in fit[lang]] + [s for _, s in seeds]
     labels = np.array([k for k, lang in enumerate(LANGS) for _ in fit[lang]] + [k for k, _ in seeds], dtype=np.int64)

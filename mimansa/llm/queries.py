@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mimansa.llm import duplicates, leakage, repeated_lines
+from mimansa.llm import boilerplate, canonical, duplicates, language, leakage, personal, repeated_lines, tokens
 from mimansa.plans.support import read, spread
 
 QUERIES: dict = {}
@@ -66,8 +66,6 @@ def p9_found(spark, d):
 
 @query("p4_found")
 def p4_found(spark, d):
-    from mimansa.llm import canonical
-
     return canonical.found(spread(read(spark, d, "medicines")), spread(read(spark, d, "medicine_records")), read(spark, d, "dosage_forms"))
 
 
@@ -76,34 +74,45 @@ SURROGATE_KEY = "mimansa-demo-key"
 
 @query("p10_found")
 def p10_found(spark, d):
-    from mimansa.llm import personal
-
     return personal.found(spread(read(spark, d, "documents")))
 
 
 @query("p10_redacted")
 def p10_redacted(spark, d):
-    from mimansa.llm import personal
-
     return personal.redacted(spread(read(spark, d, "documents")), spark.conf.get("mimansa.surrogate.key", SURROGATE_KEY))
 
 
 @query("p6_found")
 def p6_found(spark, d):
-    from mimansa.llm import language
-
     return language.found(spread(read(spark, d, "zone_docs")), read(spark, d, "lang_labels"))
 
 
 @query("p7_found")
 def p7_found(spark, d):
-    from mimansa.llm import boilerplate
-
     return boilerplate.found(spread(read(spark, d, "stored_pages")), spread(read(spark, d, "zone_docs")))
 
 
 @query("p8_ids")
 def p8_ids(spark, d):
-    from mimansa.llm import tokens
-
     return tokens.encoded(spread(read(spark, d, "documents")))
+
+
+@query("p5_cleaned")
+def p5_cleaned(spark, d):
+    return repeated_lines.cleaned(spread(read(spark, d, "zone_docs")))
+
+
+@query("p6_languages")
+def p6_languages(spark, d):
+    docs = spread(read(spark, d, "zone_docs"))
+    return language.detect(docs, language.trained(docs, read(spark, d, "lang_labels")))
+
+
+@query("p7_main")
+def p7_main(spark, d):
+    return boilerplate.main_text(spread(read(spark, d, "stored_pages")), spread(read(spark, d, "zone_docs")))
+
+
+@query("p9_spans")
+def p9_spans(spark, d):
+    return leakage.leaks(spread(read(spark, d, "documents")), read(spark, d, "eval_items"))

@@ -25,12 +25,20 @@ def line_key(line: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f]+", " "), r"^ | $", "")
 
 
-def numbered_lines(docs: DataFrame, doc: str = "doc_id", source: str = "domain", text: str = "text") -> DataFrame:
-    """doc, source, line_no, h1, h2 of every line that counts; a null text has no lines, a null source is a source."""
-    lines = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    keyed = lines.select("doc", "source", (F.col("line_no") + 1).alias("line_no"), line_key("line").alias("_k")).where(F.col("_k") != "")
+def row_key(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def numbered_lines(docs: DataFrame, doc: str = "doc_id", source: str = "domain", text: str = "text", row: Column | None = None) -> DataFrame:
+    """doc, line_no, row, h1, h2 of every line that counts; a null text has no lines, a null source is a source.
+
+    `row` tells apart the rows that share a doc; by default it is the doc itself.
+    """
+    tag = F.col(doc).cast("string") if row is None else row
+    lines = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), tag.alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    keyed = lines.select("doc", "source", "row", (F.col("line_no") + 1).alias("line_no"), line_key("line").alias("_k")).where(F.col("_k") != "")
     marked = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    return keyed.select("doc", "line_no", F.xxhash64(marked, "_k").alias("h1"), F.xxhash64(F.lit(7), "_k", marked).alias("h2"))
+    return keyed.select("doc", "row", "line_no", F.xxhash64(marked, "_k").alias("h1"), F.xxhash64(F.lit(7), "_k", marked).alias("h2"))
 
 
 @dataclass
@@ -58,7 +66,7 @@ class LineCounts:
 
 
 def repeated_lines(parts: list[DataFrame], min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc, line_no of every repeated line, after merging the parts one after the other.
+    """doc, row, line_no of every repeated line, after merging the parts one after the other.
 
     Each part is a frame of `numbered_lines`. The lines that crossed with some part are looked up in that part and in
     the earlier ones; later parts look up what crossed before them too. Every line is thus reported once it repeats.
@@ -72,7 +80,7 @@ def repeated_lines(parts: list[DataFrame], min_docs: int = MIN_DOCS) -> DataFram
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return hot_safe_join(every, final, ["h1", "h2"], "n_docs").select("doc", "line_no").distinct()
+    return hot_safe_join(every, final, ["h1", "h2"], "n_docs").select("doc", "row", "line_no")
 
 
 def by_age(docs: DataFrame, at: str = "crawled_at") -> list[DataFrame]:
@@ -86,14 +94,16 @@ def by_age(docs: DataFrame, at: str = "crawled_at") -> list[DataFrame]:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of lines that stand in at least MIN_DOCS documents of their domain."""
+    """doc_id, line_no of lines that stand in at least MIN_DOCS documents of their domain. Rows of one doc_id count once."""
     parts = [numbered_lines(p) for p in by_age(docs)]
-    return repeated_lines(parts).select(F.col("doc").alias("doc_id"), "line_no").where(F.col("doc_id").isNotNull())
+    return repeated_lines(parts).select(F.col("doc").alias("doc_id"), "line_no").where(F.col("doc_id").isNotNull()).distinct()
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id, crawled_at and the text without its repeated lines; documents without any are passed on as they are."""
-    lines = found(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_drop"), s["i"]))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return docs.select("doc_id", "crawled_at", "text").join(lines, "doc_id", "left").select("doc_id", "crawled_at", text.alias("text"))
+    """doc_id, crawled_at, text of every row without its repeated lines; rows without any come out as they are."""
+    key = row_key("doc_id", "domain", "crawled_at", "text")
+    parts = [numbered_lines(p, row=key) for p in by_age(docs)]
+    drop = repeated_lines(parts).groupBy("row").agg(F.collect_set("line_no").alias("_drop"))
+    rows = docs.select("doc_id", "crawled_at", "text", key.alias("row")).join(drop, "row", "left")
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_drop", i + 1), x)), lambda x: x.isNotNull())
+    return rows.select("doc_id", "crawled_at", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))

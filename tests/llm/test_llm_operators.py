@@ -1,0 +1,327 @@
+"""Training-data operators against brute force, round trips and edge cases."""
+
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from mimansa.llm import boilerplate, canonical, duplicates, language, leakage, personal, repeated_lines, tokens
+from tests.conftest import rows
+
+MEDICINE = "row_id long, brand_name string, manufacturer string, " + ", ".join(f"{c} string" for c in duplicates.EXACT)
+
+
+def medicine(row_id, brand, maker, **other):
+    return (row_id, brand, maker, *[other.get(c) for c in duplicates.EXACT])
+
+
+# --- duplicates ------------------------------------------------------------------------------------------------------
+
+
+def test_duplicates_edge_cases(spark):
+    df = spark.createDataFrame(
+        [
+            medicine(9, "Dolo-650", "Acme Ltd."), medicine(3, "ACME LTD", "dolo 650"), medicine(5, " dolo 650", "acme ltd", price_inr="1"), medicine(6, None, ""), medicine(7, "", None), medicine(8, "!!", " "),
+            medicine(None, "Dolo 650", "Acme Ltd"), medicine(10, "दवा", "x" * 100_000), medicine(11, "X" * 100_000, "दवा"),
+        ],
+        MEDICINE,
+    )
+    assert rows(duplicates.retyped_rows(df)) == [(10, 11), (3, 9), (6, 7), (6, 8)]
+    assert rows(duplicates.collapsed(df.withColumn("copies", F.lit(0)), "row_id", duplicates.EITHER, duplicates.EXACT), "row_id", "copies") == [(10, 2), (3, 2), (5, 1), (6, 3)]
+    assert duplicates.retyped_rows(df.limit(0)).count() == 0
+
+
+def test_duplicates_with_a_hot_group(spark):
+    rng = random.Random(1)
+    data = [medicine(i, "hot" if i % 3 == 0 else f"b{rng.randrange(300)}", "m", price_inr=str(i % 2)) for i in range(6000)]
+    rng.shuffle(data)
+    groups = defaultdict(list)
+    for r in data:
+        groups[r[1], r[3]].append(r[0])
+    expected = sorted((min(g), i) for g in groups.values() for i in g if i != min(g))
+    got = duplicates.retyped_rows(spark.createDataFrame(data, MEDICINE).repartition(7))
+    assert sorted(tuple(r) for r in got.collect()) == expected
+
+
+# --- canonical list --------------------------------------------------------------------------------------------------
+
+
+def forms(spark):
+    return spark.createDataFrame([(1, "tablet"), (2, "film-coated tablet"), (9, "syrup"), (19, "injection"), (36, "pessary")], "form_id int, form string")
+
+
+def test_canonical_values(spark):
+    cases = {
+        "tablet": None, " Tablet ": 1, "TABLTE": 0, "tablt": 1, "Tabs": 1, "film--coated talet": 2, "F.C. Tablets": 2, "sirup": 9, "सिरप": 9, "injeciton": 19, "bandage": 0, "??": 0, "N/A": 0, "x" * 50_000: 0, "": None, "  ": None, "pessray": 0, None: None,
+    }
+    df = spark.createDataFrame([(i, v, "mine") for i, v in enumerate(cases)], "id long, v string, form_id string")
+    got = {r.id: r.form_id for r in canonical.mapped(df.select("id", "v"), forms(spark), ["id"], "v").collect()}
+    assert got == {i: f for i, f in enumerate(cases.values()) if f is not None}
+    assert canonical.mapped(df.select("id", "v").limit(0), forms(spark), ["id"], "v").count() == 0
+    assert {r.form_id for r in canonical.mapped(df.select("id", "v"), forms(spark).limit(0), ["id"], "v").collect()} == {0}
+
+
+def test_pigeonhole_equals_brute_force(spark):
+    rng = random.Random(2)
+    refs = ["".join(rng.choice("abcd") for _ in range(n)) for n in (2, 3, 5, 8, 9, 11, 12, 14, 16, 20)]
+
+    def mangled(s):
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(s) + 1)
+            s = s[:i] + rng.choice(["", "x", "a"]) + s[i + rng.randrange(2) :]
+        return s
+
+    typed = sorted({mangled(r) for r in refs * 40} - {""})
+    t, r = spark.createDataFrame([(x,) for x in typed], "typed string"), spark.createDataFrame(list(enumerate(refs)), "form_id int, ref string")
+    got = {x.typed: x.distance for x in canonical.nearest(t, r).collect()}
+    k = canonical.max_edits(F.length("ref"))
+    brute = t.crossJoin(r).withColumn("d", F.levenshtein("typed", "ref")).where(F.col("d") <= k).groupBy("typed").agg(F.min("d").alias("d"))
+    assert got == {x.typed: x.d for x in brute.collect()}
+
+
+# --- repeated lines --------------------------------------------------------------------------------------------------
+
+
+def zone_docs(spark, data):
+    return spark.createDataFrame(data, "doc_id string, domain string, crawled_at string, text string")
+
+
+def test_repeated_lines(spark):
+    data = [(f"d{i}", "a", f"202{i % 3}-01-01", f"Own {chr(97 + i)}\nShare  THIS {i}\r\n\nRights 20{i}") for i in range(6)] + [(f"e{i}", "b", None, "share this") for i in range(4)]
+    data += [("d0", "a", "2020-02-01", "share this\nshare this"), ("n", None, None, "x"), ("z", "a", "2021-01-01", None), ("long", "b", "2021-01-01", "y" * 200_000), (None, "a", None, "share this")]
+    df = zone_docs(spark, data)
+    expected = sorted([(f"d{i}", n) for i in range(6) for n in (2, 4)] + [("d0", 1)])
+    assert sorted(tuple(r) for r in repeated_lines.found(df).collect()) == expected
+    clean = {(r.doc_id, r.crawled_at): r.text for r in repeated_lines.cleaned(df).collect()}
+    assert clean["d1", "2021-01-01"] == "Own b\n"
+    assert clean["d0", "2020-02-01"] == ""
+    assert clean["e1", None] == "share this"
+    assert clean["z", "2021-01-01"] is None
+    assert repeated_lines.found(df.limit(0)).count() == 0
+
+
+def test_deltas_equal_one_batch(spark):
+    rng = random.Random(3)
+    data = [(f"d{rng.randrange(40)}", rng.choice("aab"), f"20{20 + i % 4}-01-01", "\n".join(f"line {rng.choice('abcdefgh')}" for _ in range(4))) for i in range(120)]
+    df = zone_docs(spark, data)
+    parts = [repeated_lines.numbered_lines(df.where(F.substring("crawled_at", 1, 4) == str(y))) for y in range(2020, 2024)]
+    many = rows(repeated_lines.repeated_lines(parts).select("doc", "line_no").distinct())
+    assert many == rows(repeated_lines.repeated_lines([repeated_lines.numbered_lines(df)]).select("doc", "line_no").distinct())
+    where = defaultdict(set)
+    for d, s, _, t in data:
+        for line in t.split("\n"):
+            where[s, line].add(d)
+    brute = {(d, n) for d, s, _, t in data for n, line in enumerate(t.split("\n"), 1) if len(where[s, line]) >= 5}
+    assert set(many) == brute
+
+
+def test_only_crossed_lines_are_reported(spark):
+    state = repeated_lines.LineCounts.empty(spark)
+    crossings = []
+    for batch in (3, 1, 1, 2):
+        df = zone_docs(spark, [(f"{len(crossings)}-{i}", "a", None, "footer") for i in range(batch)])
+        state, crossed = state.merge(repeated_lines.numbered_lines(df))
+        crossings.append(crossed.count())
+    assert crossings == [0, 0, 1, 0]
+    assert state.counts.first().n_docs == 7
+
+
+# --- languages -------------------------------------------------------------------------------------------------------
+
+LINES = {
+    "en": "The {0} of the clinic is open for families who {1} before the end of the month.", "hi": "{0} के मरीज़ों को हर महीने {1} दी जाती है और उनका वज़न भी देखा जाता है।", "hi-Latn": "{0} wale log kal se pehle {1} likhwa lein warna agle saal tak rukna padega.",
+    "mr": "{0} येथील कुटुंबांना मोफत {1} मिळते आणि कोणतेही शुल्क नाही.", "bn": "{0} এলাকার পরিবারগুলি {1} জন্য কোনো টাকা দেবে না।", "ta": "{0} பகுதியில் வாழும் குடும்பங்கள் {1} கட்டணம் செலுத்த வேண்டாம்.",
+}
+WORDS = {"hi": ["दवा", "गाँव", "कार्ड", "जाँच"], "mr": ["दवा", "गाव", "तपासणी", "कार्ड"], "bn": ["ঔষধ", "গ্রাম", "কার্ড", "পরীক্ষা"], "ta": ["மருந்து", "ஊர்", "அட்டை", "சோதனை"]}
+
+
+def sentence(lang, rng):
+    words = WORDS.get(lang) or ["register", "village", "medicine", "card"]
+    return LINES[lang].format(rng.choice(words), rng.choice(words))
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(4)
+    letters_of = {"en": "aeioubdg", "hi-Latn": "aeioubdg", "hi": "कगदनमर", "mr": "कगदनमर", "bn": "কগদনমর", "ta": "கதநமர"}
+    sample = [(f"{lang}{i}", lang if i % 12 else "en", "\n".join(f"{sentence(lang, rng)} " + "".join(rng.choice(letters_of[lang]) for _ in range(9)) for _ in range(3))) for lang in LINES for i in range(60)]
+    return language.train(sample)
+
+
+def test_language_accuracy_and_rejection(model):
+    rng = random.Random(5)
+    held = [(lang, sentence(lang, rng)) for lang in LINES for _ in range(50)]
+    top, sure = model.classify([s for _, s in held])
+    assert sum(language.LANGS[k] == lang for (lang, _), k in zip(held, top)) / len(held) >= 0.98
+    assert model.held_out_accuracy >= 0.95
+    assert ((sure > 0) & (sure <= 1)).all()
+
+
+def test_language_detection(spark, model):
+    rng = random.Random(6)
+    hi, en = sentence("hi", rng), sentence("en", rng)
+    df = spark.createDataFrame([("a", f"{hi} {hi}\n{en}\n{hi}", en), ("b", None, None), ("c", "", ""), ("d", "123 !!", "5"), ("e", en, None), (None, en, None), ("f", f"{en} " * 3000, None)], "doc_id string, text string, title string")
+    got = {(r.doc_id, r.line_no): (r.lang, r.letters) for r in language.detect(df, model).collect()}
+    assert [got["a", n][0] for n in (-1, 0, 1, 2, 3)] == ["hi", "en", "hi", "en", "hi"]
+    assert got["b", -1] == got["c", -1] == got["d", -1] == ("und", 0)
+    assert got["f", -1][1] == 3000 * language.letters(en)
+    assert language.detect(df.limit(0), model).count() == 0
+
+
+def test_labels(spark):
+    names = {"EN": "en", "eng": "en", "Hindi": "hi", "HI-LATN": "hi-Latn", "mar": "mr", "und": None, " ": None, None: None, "fr": "?", "en-hi": "?"}
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    assert [r[0] for r in df.orderBy("i").select(language.label_language("n")).collect()] == list(names.values())
+
+
+# --- page boilerplate ------------------------------------------------------------------------------------------------
+
+PAGE = """Home | Contact | FAQ
+You are here: Home / How to apply
+Share this page with Foo Portal followers: mail, message or print
+How to apply
+Bring these papers to the counter of the clinic:
+- Birth record
+Ration card from Bar
+The desk at the clinic checks each claim within 34 working days and writes to the applicant.
+Like what you read? Tell your friends about Foo Portal
+Cookies and sugary snacks are not given to patients with asthma at the clinic.
+Service | Clinic | Limit
+Meals | Bar | Rs 250
+
+Related: New rules
+Quick links
+Powered by Foo Portal Web Services
+Anything about Foo Portal
+© 2022 Foo Portal
+Back to top"""
+
+
+def test_boilerplate(spark):
+    kept = [line for line, k in zip(PAGE.split("\n"), boilerplate.content(PAGE)) if k]
+    assert kept == PAGE.split("\n")[3:8] + PAGE.split("\n")[9:12]
+    pages = spark.createDataFrame([("p", PAGE), ("q", None), ("r", ""), (None, "x"), ("s", "<p>Home</p>\r\n<b>" + "Long sentence here. " * 5000 + "</b>")], "text_path string, body string")
+    zones = spark.createDataFrame([("z", "Last updated: 1/2/2020\nA sentence that is long enough to be kept here.", "t"), ("z", "Back to top", None)], "doc_id string, text string, title string")
+    got = sorted(tuple(r) for r in boilerplate.found(pages, zones).collect())
+    assert [n for s, r, n in got if r == "p"] == [1, 2, 3, 9, *range(14, 20)]
+    assert [(r, n) for s, r, n in got if r in "qrsz"] == [("s", 1), ("z", 1)]
+    assert boilerplate.found(pages.limit(0), zones.limit(0)).count() == 0
+    main = {r.ref: r.main for r in boilerplate.main_text(pages, zones).collect() if r.ref in "pr"}
+    assert main["r"] == ""
+    assert main["p"].startswith("How to apply\nBring")
+
+
+def test_every_phrase_holds_its_piece():
+    samples = [line.lower() for line in PAGE.split("\n")] + ["we use cookies.", "see our cookie policy", "12 comments", "visitors so far: 5", "designed and hosted by x", "leave a comment"]
+    for (piece, phrase), line in itertools.product(boilerplate.ANYWHERE, samples):
+        if re.search(phrase, line):
+            assert piece in line, (piece, line)
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------
+
+TEXTS = [None, "", " ", "\n\n  x", "It's 3,14 o'clock", "<|endoftext|> is plain", "a\x01b\x01 c", "नमस्ते दुनिया 123४", " x y　z", "🙏🏽 ‍﻿", "A" * 60_000, "tab\tand\r\nline \u0085 sep", "x̶y̶z̶ étude"]
+
+
+def test_tokens_match_the_library_and_round_trip(spark):
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
+    expected = tokens.encoder(tokens.vocabulary_path())
+    got = {r.doc_id: r.ids for r in tokens.encoded(df).collect()}
+    assert got == {i: expected.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    back = {r.doc_id: r.text for r in tokens.decoded(tokens.encoded(df)).collect()}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert tokens.encoded(df.limit(0)).count() == 0
+
+
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BUCKET_CHARS", 50)
+    df = spark.createDataFrame([(i, "same words again and again") for i in range(50)], "doc_id long, text string")
+    assert {tuple(r.ids) for r in tokens.encoded(df).collect()} == {tuple(tokens.encoder(tokens.vocabulary_path()).encode_ordinary("same words again and again"))}
+
+
+# --- leaks -----------------------------------------------------------------------------------------------------------
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 12, 20, 40])))) for i in range(12)]
+    docs = []
+    for d in range(150):
+        text = rng.choices(vocabulary, k=rng.randrange(60))
+        if d % 2:
+            source = items[rng.randrange(12)][1].split()
+            at, n = rng.randrange(len(source)), rng.choice([11, 12, 15, 40])
+            text[5:5] = source[at : at + n]
+        docs.append((d, " ".join(w.upper() + rng.choice(["", ",", " **", "​", "\n> "]) for w in text)))
+    grams = defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w) - 11):
+            grams[tuple(w[k : k + 12])].add(i)
+    expected = set()
+    for d, t in docs:
+        w = re.findall(r"[^\W_]+", t.replace("​", "").lower())
+        expected |= {(d, i) for k in range(len(w) - 11) for i in grams.get(tuple(w[k : k + 12]), ())}
+    got = leakage.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == expected
+    assert expected
+
+
+def test_leak_edge_cases(spark, monkeypatch):
+    words = " ".join(f"n{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"x {words} y", 7), (2, None, 7), (3, "", 7), (4, "z " * 30_000 + words, 7), (5, words.replace("n5 ", "n5 <b>").replace(" n9", "</b> n9"), 7)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, words), (2, words), (3, None), (4, "short")], "item_id long, text string")
+    expected = [(d, i) for d in (1, 4, 5) for i in (1, 2)]
+    assert rows(leakage.found(docs, items)) == expected
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
+    assert rows(leakage.found(docs, items)) == expected
+    assert leakage.found(docs, items.limit(0)).count() == 0
+    assert leakage.found(docs.limit(0), items).count() == 0
+    assert rows(leakage.leaks(docs, items).where("doc_id = 1 and item_id = 1"), "start_word", "n_words") == [(1, 14)]
+
+
+# --- personal information --------------------------------------------------------------------------------------------
+
+TEXT = (
+    "Dr. Narvi Tororuthal, House No. 12, Foo Street, near Foo temple, Barpura - 000 123. Mob +91-52207-56127, e_kelsavppa (at) desk [dot] sehat [dot] invalid, card QZX/4790548; "
+    "५४३६ ३७४ ७०५ or larsha5 @ mail.test. TORORUTHAL, NARVI and N. Tororuthal signed, file 00-4291-1651-2361. "
+    "Bank reference 065822083405, toll free line 1800 000 5449, Rs 5,00,000, Batch B12246134, Narvi Tororuri Clinic, PIN codes 000174."
+)
+EXPECTED = {
+    ("address", "000123"), ("email", "e_kelsavppa@desk.sehat.invalid"), ("email", "larsha5@mail.test"), ("id", "00429116512361"), ("id", "QZX4790548"), ("name", "n tororuthal"), ("name", "narvi tororuthal"),
+    ("name", "tororuthal narvi"), ("phone", "5220756127"), ("phone", "5436374705"),
+}
+
+
+def test_detection(spark):
+    df = spark.createDataFrame([(1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, "plain " * 30_000, "x")], "doc_id long, text string, kind string")
+    assert {tuple(r)[1:] for r in personal.found(df).collect()} == EXPECTED
+    assert personal.found(df.limit(0)).count() == 0
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame([(1, TEXT), (2, None), (3, "plain"), (4, "Call Narvi Tororuthal or Krivi Hulppa on 05220756127")], "doc_id long, text string")
+    got = {r.doc_id: r for r in personal.redacted(df, "key").collect()}
+    assert (got[2].placeholders, got[3].surrogates) == (None, "plain")
+    assert got[4].placeholders == "Call <NAME> or <NAME> on <PHONE>"
+    one, four = got[1].surrogates, got[4].surrogates
+    for real in ("Tororuthal", "TORORUTHAL", "52207", "4790548", "e_kelsavppa", "000 123", "५४३६"):
+        assert real not in one
+    m = re.search(r"Dr\. (\w+vi) (\w+thal), House No\. 12, Foo Street, near Foo temple, Barpura - (\d{3} \d{3})\. Mob \+91-(5\d{4}-\d{5})", one)
+    assert m and f"{m[2].upper()}, {m[1].upper()}" in one and f"{m[1][0]}. {m[2]}" in one
+    assert re.search(r"card [A-Z]{3}/\d{7}; ५[०-९]{3} [०-९]{3} [०-९]{3} or", one)
+    assert f"Call {m[1]} {m[2]} or" in four and four.endswith("0" + m[4].replace("-", ""))
+    assert {r.doc_id: r.surrogates for r in personal.redacted(df, "key").collect()} == {k: v.surrogates for k, v in got.items()}
+    assert {r.doc_id: r.surrogates for r in personal.redacted(df, "other").collect()}[1] != one
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    monkeypatch.setattr(personal, "surrogate", lambda key, kind, val, attempt: f"s{(int(val) * 7 + attempt) % 11}" if attempt < 3 else f"s{val}x{attempt}")
+    df = spark.createDataFrame([("phone", str(i)) for i in range(30)], "kind string, val string")
+    table = personal.surrogate_table(df, "k").collect()
+    assert len(table) == 30
+    assert max(Counter(r.surrogate for r in table).values()) == 1
