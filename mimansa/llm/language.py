@@ -57,6 +57,7 @@ SEEDS = {
 }
 SEED_SENTENCES = 400
 _SENTENCE = re.compile(r"(?<=[.?!।॥])[\"'”’)]*\s+")
+_LATIN = re.compile("[A-Za-z]")
 _SCRIPTS = [(0x0980, 0x09FF), (0x0B80, 0x0BFF), (0x0900, 0x097F)]
 
 
@@ -69,8 +70,8 @@ def label_language(label: str | Column) -> Column:
     return out.otherwise("?")
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point, whether it is a letter, and whether it stays in the features (letters and marks)."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point, whether it is a letter, whether it stays in the features (letters and marks), its script."""
     cats = [unicodedata.category(chr(i))[0] for i in range(0x3000)]
     letter = np.zeros(0x110000, dtype=bool)
     keep = np.zeros(0x110000, dtype=bool)
@@ -78,16 +79,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     keep[:0x3000] = [c in "LM" for c in cats]
     for i in [*range(0x3000, 0x20000)]:
         letter[i] = keep[i] = unicodedata.category(chr(i))[0] == "L"
-    return letter, keep
+    script = np.where(letter, 5, 0).astype(np.int64)
+    script[:0x250][letter[:0x250]] = 4
+    for k, (a, b) in enumerate(_SCRIPTS):
+        script[a : b + 1][letter[a : b + 1]] = k + 1
+    return letter, keep, script
 
 
 _TABLES: list = []
 
 
-def tables() -> tuple[np.ndarray, np.ndarray]:
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _TABLES:
         _TABLES.extend(_tables())
-    return _TABLES[0], _TABLES[1]
+    return _TABLES[0], _TABLES[1], _TABLES[2]
 
 
 def letters(text: str) -> int:
@@ -115,7 +120,7 @@ def segments(line: str) -> list[str]:
     for sentence in _SENTENCE.split(line):
         if not sentence:
             continue
-        if sentence.isascii() or not any("a" <= c <= "z" for c in sentence.lower()):
+        if sentence.isascii() or not _LATIN.search(sentence):
             out.append(sentence)
             continue
         stretch, script = [], 0
@@ -130,12 +135,15 @@ def segments(line: str) -> list[str]:
     return out
 
 
-def script_of(text: str) -> int:
-    """The script of most of the letters: Bengali, Tamil, Devanagari, Latin, other; 0 without letters."""
-    if text.isascii():
-        return 4 if any(c.isalpha() for c in text) else 0
-    counts = Counter(_script(c) for c in text if c.isalpha())
-    return counts.most_common(1)[0][0] if counts else 0
+def scripts_of(texts: list[str]) -> np.ndarray:
+    """The script of most letters of each text: Bengali, Tamil, Devanagari, Latin, other (1 to 5); 0 without letters."""
+    if not texts:
+        return np.zeros(0, dtype=np.int64)
+    points = _points("\n".join(texts) + "\n")
+    which = np.cumsum(points == 10) - (points == 10)
+    counts = np.bincount(which.astype(np.int64) * 6 + tables()[2][points], minlength=6 * len(texts)).reshape(-1, 6)[: len(texts)]
+    counts[:, 0] = 0
+    return np.where(counts.any(axis=1), counts.argmax(axis=1), 0)
 
 
 def bare(text: str) -> str:
@@ -185,7 +193,7 @@ class Model:
         picked = self.scores[grams]
         sums = np.stack([np.bincount(owners, weights=picked[:, k], minlength=len(texts)) for k in range(len(LANGS))], axis=1)
         z = sums / counts[:, None] + self.bias
-        return np.where(self.scripts[[script_of(t) for t in texts]], z, -60.0)
+        return np.where(self.scripts[scripts_of(texts)], z, -60.0)
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and its calibrated confidence."""
@@ -230,26 +238,32 @@ def _fit(texts: list[str], labels: np.ndarray, scripts: np.ndarray, seed: int) -
     emb = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     weights = rng.normal(0, 0.1, (SIZE, len(LANGS))).astype(np.float32)
     bias = np.zeros(len(LANGS), dtype=np.float32)
+    # subwords of every text, once; a text without any has the bucket of nothing
+    grams, owners = features(texts)
+    order = np.argsort(owners, kind="stable")
+    counts = np.bincount(owners, minlength=len(texts))
+    parts = [g if len(g) else np.zeros(1, dtype=np.int64) for g in np.split(grams[order], np.cumsum(counts)[:-1])]
     batch, steps = 32, EPOCHS * max(1, -(-len(texts) // 32))
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
+        shuffled = rng.permutation(len(texts))
+        for at in range(0, len(shuffled), batch):
             rate = 0.6 * (1 - step / steps)
-            mine = order[at : at + batch]
-            grams, owners = features([texts[i] for i in mine])
-            counts = np.maximum(np.bincount(owners, minlength=len(mine)), 1).astype(np.float32)
-            mean = np.zeros((len(mine), SIZE), dtype=np.float32)
-            np.add.at(mean, owners, emb[grams])
-            mean /= counts[:, None]
+            mine = shuffled[at : at + batch]
+            sizes = np.array([len(parts[i]) for i in mine])
+            used = np.concatenate([parts[i] for i in mine])
+            mean = np.add.reduceat(emb[used], np.cumsum(sizes) - sizes) / sizes[:, None].astype(np.float32)
             z = mean @ weights + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(mine)), labels[mine]] -= 1
-            back = (p @ weights.T) / counts[:, None]
+            back = (-rate * 8 * (p @ weights.T) / sizes[:, None]).astype(np.float32)
             weights -= rate / 4 * (mean.T @ p)
             bias -= rate / 16 * p.sum(axis=0)
-            np.add.at(emb, grams, (-rate * 8 * back[owners]).astype(np.float32))
+            # a bucket's changes are summed before they are added
+            by = np.argsort(used, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], used[by][1:] != used[by][:-1])))
+            emb[used[by][first]] += np.add.reduceat(np.repeat(back, sizes, axis=0)[by], first)
             step += 1
     return Model(emb @ weights, bias, 1.0, scripts)
 
@@ -266,13 +280,15 @@ def train(sample: list[tuple[str, str, str]], seed: int = 7) -> Model:
         for f in {frame(s) for s in parts}:
             under[f][lang] += 1 / docs[lang]
     by_script = np.zeros((6, len(LANGS)))
+    all_parts = list(dict.fromkeys(p for _, _, parts in cut for p in parts))
+    script = dict(zip(all_parts, scripts_of(all_parts).tolist()))
     for _, lang, parts in cut:
         for p in parts:
-            by_script[script_of(p), LANGS.index(lang)] += len(p)
+            by_script[script[p], LANGS.index(lang)] += len(p)
     scripts = by_script == by_script.max(axis=0, keepdims=True)
     scripts[0] = True
     scripts[5] |= ~scripts[5].any()
-    fits = lambda s, lang: scripts[script_of(s), LANGS.index(lang)]
+    fits = lambda s, lang: scripts[script[s], LANGS.index(lang)]
     own = lambda s, lang: fits(s, lang) and vote(s) in (None, lang) and repeated[_same(s)] < FURNITURE_DOCS and under[frame(s)][lang] >= OWN_SHARE * sum(v for k, v in under[frame(s)].items() if fits(s, k))
     fit: dict[str, list[str]] = {lang: [] for lang in LANGS}
     held: dict[str, list[str]] = {lang: [] for lang in LANGS}
