@@ -176,7 +176,7 @@ def named_reading(value: float, name: str | None) -> tuple | None:
     if not isinstance(name, str):
         return None
     text = fold(name)
-    for m in re.finditer(rf"(?<![\w.,])(?:{_NUM})", text):
+    for m in re.finditer(rf"(?<!\d)(?<!\d[.,])(?:{_NUM})", text):
         if (n := number(m[0])) is None or float(n) != value:
             continue
         tail = text[m.end() :]

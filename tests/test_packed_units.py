@@ -73,7 +73,7 @@ CASES = [
     ("250 mg", None, ("ug", 250_000)), ("2.5 MG/5ML", None, ("ug/ml", 500)), ("0,5 %", None, ("ug/g", 5_000)), ("1,500,000 IU", None, ("iu", 1_500_000)), ("1% w/v", None, ("ug/ml", 10_000)),
     ("2 lakh IU", None, ("iu", 200_000)), ("1.5 MIU", None, ("iu", 1_500_000)), ("25kIU", None, ("iu", 25_000)), ("२५०मि.ग्रा.", None, ("ug", 250_000)), ("３００Mg", None, ("ug", 300_000)),
     ("10 mg per tablet", None, ("ug", 10_000)), ("2 g/100g", None, ("ug/g", 20_000)), ("1 l", None, ("ul", 1_000_000)), ("approx (12.5 micrograms)", None, None), ("5 µg/g", None, ("ug/g", 5)), ("100 units/10 ml", None, ("iu/ml", 10)),
-    ("500", "Foo 500 mg tablet", ("ug", 500_000)), ("500", "Foo 50 mg", None), ("0.25", "Foo 0,25 g", ("ug", 250_000)), ("10-20 mg", None, None), ("5mg+5mg", None, None), ("-5mg", None, None), ("0 mg", None, None),
+    ("500", "Foo 500 mg tablet", ("ug", 500_000)), ("500", "Foo 50 mg", None), ("75", "Foo75mg.", ("ug", 75_000)), ("75", "Foo 175 mg", None), ("5", "Foo 2.5 mg", None), ("0.25", "Foo 0,25 g", ("ug", 250_000)), ("10-20 mg", None, None), ("5mg+5mg", None, None), ("-5mg", None, None), ("0 mg", None, None),
     ("10 mEq", None, None), ("5 billion spores", None, None), ("mg", None, None), ("", None, None), (None, None, None),
 ]
 
