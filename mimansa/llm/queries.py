@@ -64,7 +64,24 @@ def p9_found(spark, d):
     return leakage.found(spread(read(spark, d, "documents")), read(spark, d, "eval_items"))
 
 
-@query("p4_found")
+_FOLD = r"trim(regexp_replace(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}/]+', ' ', 'g')), ' ?/ |/ ?$|^ ?/', ' ', 'g'))"
+_ALIASES = ", ".join(f"('{f}', '{a}')" for f, names in canonical.ALIASES.items() for a in names.split("|"))
+_FORMS = f"""
+with v as (
+  select 'medicines' as src, row_id as ref_id, dosage_form as v from medicines union all select 'medicine_records', record_id, form from medicine_records),
+r as (select * from v where v is not null and trim(regexp_replace(v, '[\\s\\p{{Z}}]+', ' ', 'g')) <> '' and v not in (select form from dosage_forms)),
+t as (select src, ref_id, {_FOLD.format("v")} as typed from r),
+refs as (
+  select ref, min(form_id) as form_id from (
+    select form_id, {_FOLD.format("form")} as ref from dosage_forms
+    union all select form_id, {_FOLD.format("alias")} from dosage_forms join (values {_ALIASES}) a(form, alias) using (form)) where ref <> '' group by ref),
+k as (select *, case when length(ref) <= 3 then 0 when length(ref) <= 8 then 1 when length(ref) <= 11 then 3 else 4 end as k from refs),
+d as (select typed, ref, form_id, k, levenshtein(typed, ref) as distance from (select distinct typed from t), k where abs(length(typed) - length(ref)) <= k),
+b as (select typed, min((distance, -length(ref), form_id)) as best from d where distance <= k group by typed)
+"""
+
+
+@query("p4_found", _FORMS + "select src, ref_id, coalesce(best[3], 0) as form_id from t left join b using (typed)")
 def p4_found(spark, d):
     return canonical.found(spread(read(spark, d, "medicines")), spread(read(spark, d, "medicine_records")), read(spark, d, "dosage_forms"))
 
@@ -97,7 +114,13 @@ def p8_ids(spark, d):
     return tokens.encoded(spread(read(spark, d, "documents")))
 
 
-@query("p5_cleaned")
+@query("p5_cleaned", """
+with z as (select *, row_number() over () as rid from zone_docs),
+l as (select rid, doc_id, domain, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from z where text is not null),
+""" + _LINES[_LINES.index("k as ("):].replace("select doc_id, domain,", "select rid, line, doc_id, domain,", 1) + """,
+m as (select k.*, c.key is not null as gone from k left join c on c.key = k.key and c.domain is not distinct from k.domain),
+o as (select rid, bool_or(gone) as hit, string_agg(line, chr(10) order by line_no) filter (where not gone) as rest from m group by rid)
+select doc_id, crawled_at, case when hit then coalesce(rest, '') else text end as text from z left join o using (rid)""")
 def p5_cleaned(spark, d):
     return repeated_lines.cleaned(spread(read(spark, d, "zone_docs")))
 
