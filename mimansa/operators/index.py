@@ -81,6 +81,11 @@ class Index:
     avg_length: float
     n_terms: int
 
+    def release(self) -> None:
+        """Gives the cached tables back."""
+        for table in (self.words, self.posts, self.terms):
+            table.unpersist()
+
 
 def build(docs: DataFrame, text: str = "text", stopwords: list[str] | None = None, exact: bool = False) -> Index:
     """Builds and caches an index. Only three figures of the collection come to the driver."""

@@ -65,8 +65,8 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
 def bm25_idf(index: Index, epsilon: float = 0.25) -> DataFrame:
     """term, idf. A negative idf becomes epsilon times the mean over the whole vocabulary, which may be negative too."""
     raw = index.terms.select("term", (F.log(F.lit(float(index.n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    floor = F.lit(epsilon * (raw.agg(F.avg("raw")).first()[0] or 0.0))  # one figure of the collection
+    return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
