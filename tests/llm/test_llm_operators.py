@@ -325,3 +325,13 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     table = personal.surrogate_table(df, "k").collect()
     assert len(table) == 30
     assert max(Counter(r.surrogate for r in table).values()) == 1
+
+
+def test_ids_in_lower_case(spark):
+    text = "Passport mdsxw1845j was shown, card Gbkxk-9454-n, file qzx/4790548, card number abxde 1234 f. In about 2024 a clinic opened; sum 1234567, ref1234567, batch lower1234x."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert {(r.kind, r.val) for r in personal.found(df).collect()} == {("id", "MDSXW1845J"), ("id", "GBKXK9454N"), ("id", "QZX4790548"), ("id", "ABXDE1234F")}
+    out = personal.redacted(df, "key").collect()[0]
+    assert out.placeholders == "Passport <ID> was shown, card <ID>, file <ID>, card number <ID>. In about 2024 a clinic opened; sum 1234567, ref1234567, batch lower1234x."
+    m = re.match(r"Passport [a-z]{5}\d{4}[a-z] was shown, card [A-Z][a-z]{4}-\d{4}-[a-z], file [a-z]{3}/\d{7}, card number [a-z]{5} \d{4} [a-z]\. In", out.surrogates)
+    assert m and "mdsxw1845j" not in out.surrogates
