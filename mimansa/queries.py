@@ -475,13 +475,26 @@ with i as (select item_id, list_distinct(regexp_extract_all(lower(text), '[₹\p
 select item_id, doc_id, round(len(list_intersect(a, b)) / len(a), 6) as overlap from i, d where len(list_intersect(a, b)) >= 4""")
 def evidence_overlap(spark, d):
     # a stated query set against all titles
+    return overlaps(spark, d, "title")
+
+
+def overlaps(spark, d, column: str) -> DataFrame:
     items = read(spark, d, "eval_items").select("item_id", tx.claim_words("text").alias("a"))
-    docs = documents(spark, d).select("doc_id", tx.claim_words(F.coalesce("title", F.lit(""))).alias("b"))
+    docs = documents(spark, d).select("doc_id", tx.claim_words(F.coalesce(column, F.lit(""))).alias("b"))
     words = items.select("item_id", F.size(F.array_distinct("a")).alias("n"), F.explode(F.array_distinct("a")).alias("w"))
     shared = docs.select("doc_id", F.explode(F.array_distinct("b")).alias("w")).join(F.broadcast(words), "w").groupBy("item_id", "doc_id", "n").count()
     return shared.where("count >= 4").select("item_id", "doc_id", F.round(F.col("count") / F.col("n"), 6).alias("overlap"))
 
 
+@query("evidence_overlap_texts", r"""
+with i as (select item_id, list_distinct(regexp_extract_all(lower(text), '[₹\p{L}\p{N}_]+')) as a from eval_items), iw as (select item_id, len(a) as n, unnest(a) as w from i),
+dw as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[₹\p{L}\p{N}_]+'))) as w from documents)
+select item_id, doc_id, round(count(*) / n, 6) as overlap from dw join iw using (w) group by item_id, doc_id, n having count(*) >= 4""")
+def evidence_overlap_texts(spark, d):
+    # the same items against the whole texts, as the operator compares claims with evidence
+    return overlaps(spark, d, "text")
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 TITLED = [("cataract", "cataract"), ("diabetes", "diabetes"), ("dengue", "dengue fever"), ("asthma", "asthma"), ("severe", "severe burns")]

@@ -1,10 +1,13 @@
 """Analysers, indexes, ranking, net score and search: known answers."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from mimansa import queries
 from mimansa.functions import text as tx
 from mimansa.functions.url import canonical_url
 from mimansa.operators import index, netscore, rank, search
@@ -177,3 +180,30 @@ def test_expansion(spark):
     lexicon = spark.createDataFrame([("muft", ["free"]), ("ilaaj", ["treatment", "free", "muft"])], "source string, targets array<string>")
     got = {r.query_id: r.tokens for r in search.expand(asked(spark, "muft ilaaj", "ilaaj", "x", ""), lexicon).collect()}
     assert got == {"q1": ["muft", "ilaaj", "free", "treatment"], "q2": ["ilaaj", "treatment", "free", "muft"], "q3": ["x"], "q4": []}
+
+
+def stored(spark, folder, **tables):
+    """Tables as parquet files in a folder, as queries read them."""
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, doc_type string, title string, n_chars long, crawled_at timestamp"
+
+
+def document(doc_id, text, title=None):
+    return (doc_id, text, None, None, None, title, None, None)
+
+
+def test_evidence_overlap_reads_whole_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(30)] + ["₹500", "दवा"]
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(40))) for i in range(40)} | {90: None, 91: "", 92: "filler " * 5_000 + "w1 w2, W3 w4"}
+    items = {i: " ".join(rng.choice(words) for _ in range(8)) for i in range(6)} | {7: "W1 w2 w3 w4 w4 x"}
+    d = stored(spark, tmp_path, documents=(DOCUMENTS, [document(i, t, "w1 title") for i, t in texts.items()]), eval_items=("item_id long, text string", list(items.items())))
+    cut = lambda t: set(re.findall(r"[₹\wऀ-ॿ]+", (t or "").lower()))
+    expected = {(i, j, round(len(cut(a) & cut(b)) / len(cut(a)), 6)) for i, a in items.items() for j, b in texts.items() if len(cut(a) & cut(b)) >= 4}
+    got = {(r.item_id, r.doc_id, r.overlap) for r in queries.evidence_overlap_texts(spark, d).collect()}
+    assert got == expected and (7, 92, 0.8) in got
+    assert queries.evidence_overlap(spark, d).count() == 0
