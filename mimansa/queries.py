@@ -91,6 +91,30 @@ dn as (select doc_id, sqrt(sum(pow(1 + log10(tf), 2))) as norm from post group b
 cos as (select query_id, doc_id, sum(wq * (1 + log10(tf)) / norm) as score from qn join post using (term) join dn using (doc_id) where wq > 0 group by all having score > 0)"""
 
 
+# The queries of the rows whose id is divisible by 50: the title or, where a row has none, the first line of its text.
+# Ids of zone documents are no numbers; the first 32 bits of their hash stand for one.
+_ASKED = "coalesce(nullif(trim(title), ''), regexp_extract(text, '[^ \\t\\n\\r][^\\n]*', 0), '') as query"
+_DQ = f"q as (select cast(doc_id as varchar) as query_id, {_ASKED} from documents where doc_id % 50 = 0)"
+_ZQ = f"q as (select doc_id as query_id, {_ASKED} from zl where cast('0x' || substr(md5(doc_id), 1, 8) as bigint) % 50 = 0)"
+
+
+def asked_of(rows: DataFrame) -> DataFrame:
+    title, line = F.when(F.trim("title") != "", F.trim("title")), F.regexp_extract("text", r"[^ \t\n\r][^\n]*", 0)
+    return rows.select(F.col("doc_id").cast("string").alias("query_id"), F.coalesce(title, line, F.lit("")).alias("query"))
+
+
+def document_queries(spark, d) -> DataFrame:
+    return asked_of(read(spark, d, "documents").where("doc_id % 50 = 0"))
+
+
+def zone_queries(spark, d) -> DataFrame:
+    return asked_of(zone_corpus(spark, d).where("conv(substr(md5(doc_id), 1, 8), 16, 10) % 50 = 0"))
+
+
+def row_terms_sql(asked: str) -> str:
+    return asked + QTERMS[QTERMS.index(",\nqt as") :]
+
+
 @query("doc_stats", f"with {CORPUS} select doc_id, len(toks) as length, len(list_distinct(toks)) as unique_terms from w")
 def doc_stats(spark, d):
     return index.doc_stats(index.analysed(documents(spark, d)))
@@ -153,10 +177,23 @@ def tfidf_topk(spark, d):
 
 @query("cosine_explain", f"with {CORPUS}, {QTERMS}, {COSINE} select query_id, doc_id, term, cast(tf as integer) as tf, round(wq, 6) as query_weight, round((1 + log10(tf)) / norm, 6) as doc_weight from qn join post using (term) join dn using (doc_id) where wq > 0")
 def cosine_explain(spark, d):
-    parts = rank.contributions(index.build(documents(spark, d)), batch(spark))
+    return explained(rank.contributions(index.build(documents(spark, d)), batch(spark)))
+
+
+def explained(parts: DataFrame) -> DataFrame:
     return parts.select("query_id", "doc_id", "term", "tf", F.round("query_weight", 6).alias("query_weight"), F.round("doc_weight", 6).alias("doc_weight"))
 
 
+@query("tfidf_topk_rows", f"with {CORPUS}, {row_terms_sql(_DQ)}, {COSINE}, r as (select query_id, doc_id, round(score, 6) as score from cos) " + TOP.format("r"))
+def tfidf_topk_rows(spark, d):
+    return top10(rank.cosine_scores(index.build(documents(spark, d)), document_queries(spark, d)))
+
+
+@query("cosine_explain_rows", f"with {CORPUS}, {row_terms_sql(_DQ)}, {COSINE} select query_id, doc_id, term, cast(tf as integer) as tf, round(wq, 6) as query_weight, round((1 + log10(tf)) / norm, 6) as doc_weight from qn join post using (term) join dn using (doc_id) where wq > 0")
+def cosine_explain_rows(spark, d):
+    return explained(rank.contributions(index.build(documents(spark, d)), document_queries(spark, d)))
+
+
 BM25 = """
 raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from term, n),
 idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
@@ -169,6 +206,11 @@ def bm25_topk(spark, d):
     return top10(rank.bm25_scores(index.build(documents(spark, d)), batch(spark)))
 
 
+@query("bm25_topk_rows", f"with {CORPUS}, {row_terms_sql(_DQ)}, {BM25}, r as (select query_id, doc_id, round(score, 6) as score from bm) " + TOP.format("r"))
+def bm25_topk_rows(spark, d):
+    return top10(rank.bm25_scores(index.build(documents(spark, d)), document_queries(spark, d)))
+
+
 _PH = f"p as (select query_id, {tokens_sql('query')} as pt from (values {values_sql(PHRASES)}) v(query_id, query)), po as (select query_id, len(pt) as n, unnest(pt) as term, generate_subscripts(pt, 1) - 1 as off from p)"
 
 
@@ -176,9 +218,21 @@ _PH = f"p as (select query_id, {tokens_sql('query')} as pt from (values {values_
 def phrase_search(spark, d):
     words = index.analysed(documents(spark, d))
     phrases = batch(spark, PHRASES).select("query_id", tx.tokenize(tx.quoted_phrase("query")).alias("tokens"))
+    return starts_of(words, phrases)
+
+
+def starts_of(words: DataFrame, phrases: DataFrame) -> DataFrame:
     return index.phrase_starts(words, phrases).withColumn("starts", F.array_join(F.transform("starts", lambda x: x.cast("string")), ","))
 
 
+_PHR = f"{_DQ}, p as (select query_id, {tokens_sql('query')} as pt from q), " + _PH[_PH.index("po as") :]
+
+
+@query("phrase_search_rows", f"with {CORPUS}, {_PHR}, s as (select query_id, doc_id, pos - off as start, n from tok join po using (term) group by all having count(*) = n) select query_id, doc_id, array_to_string(list_sort(list(start)), ',') as starts from s group by all")
+def phrase_search_rows(spark, d):
+    return starts_of(index.analysed(documents(spark, d)), document_queries(spark, d).select("query_id", tx.tokenize("query").alias("tokens")))
+
+
 LEXICON = [("muft", ["free"]), ("ilaaj", ["treatment"]), ("dawa", ["medicine", "tablet"]), ("heart", ["cardiac", "heart"])]
 MIXED = [("x1", "muft ilaaj dawa"), ("x2", "dawa medicine"), ("x3", "Heart muft muft"), ("x4", "")]
 _LEX = ", ".join(f"('{s}', {t!r})" for s, t in LEXICON)
@@ -204,6 +258,14 @@ def expanded_search(spark, d):
     return top10(rank.cosine_scores(index.build(documents(spark, d)), search.prepared(batch(spark, MIXED), lexicon(spark))))
 
 
+_EXPAND_ROWS = f"{_DQ}, x as (select query_id, {tokens_sql('query')} as own from q),\n" + _EXPAND[_EXPAND.index("lex as") :]
+
+
+@query("expanded_search_rows", f"with {CORPUS}, {_EXPAND_ROWS}, qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(own || coalesce(added, [])) as term from e) group by all), {COSINE}, r as (select query_id, doc_id, round(score, 6) as score from cos) " + TOP.format("r"))
+def expanded_search_rows(spark, d):
+    return top10(rank.cosine_scores(index.build(documents(spark, d)), search.prepared(document_queries(spark, d), lexicon(spark))))
+
+
 # --- zones and the net score ----------------------------------------------------------------------------------------
 
 AS_OF = "2026-01-01T00:00:00"
@@ -227,9 +289,9 @@ def zone_corpus(spark, d) -> DataFrame:
     return search.latest(spread(read(spark, d, "zone_docs")))
 
 
-def zone_signals(spark, d) -> DataFrame:
+def zone_signals(spark, d, asked: DataFrame | None = None) -> DataFrame:
     z = zone_corpus(spark, d)
-    hits = rank.cosine_scores(index.build(z), batch(spark)).withColumnRenamed("score", "cosine")
+    hits = rank.cosine_scores(index.build(z), batch(spark) if asked is None else asked).withColumnRenamed("score", "cosine")
     return netscore.score_parts(hits.join(z, "doc_id"), NET)
 
 
@@ -251,6 +313,24 @@ def zone_search(spark, d):
     return hits.select("query_id", "rank", "doc_id", "cosine", "g_score", "freshness", "zone_weight", "net")
 
 
+@query("net_score_topk_rows", f"with {_ZL}, {_ZCORPUS}, {row_terms_sql(_ZQ)}, {COSINE}, {_SIGNALS}, r as (select query_id, doc_id, round(net, 6) as score from tot where net is not null) " + TOP.format("r"))
+def net_score_topk_rows(spark, d):
+    return top10(zone_signals(spark, d, zone_queries(spark, d)).where(F.col("net").isNotNull()).select("query_id", "doc_id", F.col("net").alias("score")))
+
+
+@query("net_score_excluded_rows", f"""with {_ZL}, {_ZCORPUS}, {row_terms_sql(_ZQ)}, {COSINE}, {_SIGNALS}
+select query_id, doc_id, 'unavailable: ' || array_to_string(list_filter([case when g_score is null then 'g_score' end, case when freshness is null then 'freshness' end, case when zone_weight is null then 'zone_weight' end], lambda x: x is not null), ', ') as reason
+from tot where net is null""")
+def net_score_excluded_rows(spark, d):
+    return zone_signals(spark, d, zone_queries(spark, d)).where(F.col("net").isNull()).select("query_id", "doc_id", "reason")
+
+
+@query("zone_search_rows")
+def zone_search_rows(spark, d):
+    hits = search.search(zone_corpus(spark, d), zone_queries(spark, d), 10, {"zone": "benefits"}, NET, lexicon=lexicon(spark))
+    return hits.select("query_id", "rank", "doc_id", "cosine", "g_score", "freshness", "zone_weight", "net")
+
+
 @query("html_zones")
 def html_zones(spark, d):
     pages = spread(read(spark, d, "stored_pages"))
@@ -368,6 +448,14 @@ def brand_cosines(spark, d):
     return scored.groupBy("query_id", "brand").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 
+@query("brand_cosines_stated")
+def brand_cosines_stated(spark, d):
+    # every stated query, those too that name a strength, form or release, which SQL does not state
+    rows = catalog.attributes(product_records(spark, d))
+    scored = catalog.ngram_cosines(catalog.parsed_queries(product_queries(spark, d)), rows).where(F.col("cosine") >= 0.5).join(rows.select("row_id", "brand"), "row_id")
+    return scored.groupBy("query_id", "brand").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+
+
 # --- crawl state ----------------------------------------------------------------------------------------------------
 
 

@@ -207,3 +207,21 @@ def test_evidence_overlap_reads_whole_texts(spark, tmp_path):
     got = {(r.item_id, r.doc_id, r.overlap) for r in queries.evidence_overlap_texts(spark, d).collect()}
     assert got == expected and (7, 92, 0.8) in got
     assert queries.evidence_overlap(spark, d).count() == 0
+
+
+def test_rows_divisible_by_50_are_queries(spark, tmp_path):
+    data = [document(50, "\n \nfever clinic\nother words", " "), document(100, "heart valve", "Fever heart"), document(150, None), document(51, "fever heart ward", "rare"), document(1, "plain"), document(2, "fever heart")]
+    d = stored(spark, tmp_path, documents=(DOCUMENTS, data))
+    assert {r.query_id: r.query for r in queries.document_queries(spark, d).collect()} == {"50": "fever clinic", "100": "Fever heart", "150": ""}
+    for f in (queries.tfidf_topk_rows, queries.bm25_topk_rows, queries.expanded_search_rows):
+        assert {r.query_id for r in f(spark, d).collect()} == {"50", "100"}
+    assert {(r.query_id, r.term) for r in queries.cosine_explain_rows(spark, d).collect()} == {("50", "fever"), ("50", "clinic"), ("100", "fever"), ("100", "heart")}
+    assert rows(queries.phrase_search_rows(spark, d)) == [("100", "2", "0"), ("100", "51", "0"), ("50", "50", "0")]
+
+
+def test_brand_cosines_of_stated_strengths(spark, tmp_path):
+    schema = "record_id long, product_id string, brand string, salt string, strength_value double, strength_unit string, form string, mrp double, generic_price double, manufacturer string, is_combination boolean, ingredients array<string>"
+    data = [(i, None, b, None, None, None, None, None, None, None, False, None) for i, b in ((50, "Dolomax 650 mg"), (100, "Kelvin tablet"), (150, "Dolomax"), (1, "Kelvin"), (2, None))]
+    d = stored(spark, tmp_path, medicine_records=(schema, data))
+    assert {r.query_id for r in queries.brand_cosines(spark, d).collect()} == {"150"}
+    assert {r.query_id for r in queries.brand_cosines_stated(spark, d).collect()} == {"50", "100", "150"}
