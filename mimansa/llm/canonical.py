@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mimansa.plans.support import checkpointed, hot_safe_join
+from mimansa.plans.support import checkpointed, hot_safe_join, small
 
 # Other spellings of the entries, by entry.
 ALIASES = {
@@ -92,13 +92,13 @@ def _segments(length: Column) -> Column:
 def nearest(typed: DataFrame, refs: DataFrame) -> DataFrame:
     """typed, form_id, distance: the closest reference of every distinct `typed` that has one within its edits.
 
-    Ties go to fewer edits, then to the longer reference, then to the smaller form_id.
+    Ties go to fewer edits, then to the longer reference, then to the smaller form_id. References of any length take
+    part; the places are made for the lengths that occur.
     """
-    spark = typed.sparkSession
     sized = refs.where(F.length("ref") > 0).withColumn("len", F.length("ref"))
     cut = sized.withColumn("s", F.explode(_segments(F.col("len")))).select("ref", "form_id", "len", F.col("s.no").alias("no"), F.expr("substring(ref, s.start, s.size)").alias("piece"))
     # where a typed value of length n may hold the pieces of references of length len
-    lengths = spark.range(1, 65).select(F.col("id").cast("int").alias("len")).withColumn("k", max_edits(F.col("len")))
+    lengths = sized.select("len").distinct().withColumn("k", max_edits(F.col("len")))
     places = (
         lengths.withColumn("s", F.explode(_segments(F.col("len"))))
         .withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - F.col("k")), F.col("len") + F.col("k"))))
@@ -106,8 +106,8 @@ def nearest(typed: DataFrame, refs: DataFrame) -> DataFrame:
         .where(F.col("at") + F.col("s.size") - 1 <= F.col("n"))
         .select("n", "len", F.col("s.no").alias("no"), "at", F.col("s.size").alias("size"))
     )
-    probes = typed.withColumn("n", F.length("typed")).join(F.broadcast(places), "n").select("typed", "len", "no", F.expr("substring(typed, at, size)").alias("piece")).distinct()
-    pairs = probes.join(F.broadcast(cut), ["len", "no", "piece"]).select("typed", "ref", "form_id").distinct()
+    probes = typed.withColumn("n", F.length("typed")).join(small(places), "n").select("typed", "len", "no", F.expr("substring(typed, at, size)").alias("piece")).distinct()
+    pairs = probes.join(small(cut), ["len", "no", "piece"]).select("typed", "ref", "form_id").distinct()
     close = pairs.withColumn("distance", F.levenshtein("typed", "ref")).where(F.col("distance") <= max_edits(F.length("ref")))
     best = F.min(F.struct("distance", (-F.length("ref")).alias("shorter"), "form_id")).alias("b")
     return close.groupBy("typed").agg(best).select("typed", F.col("b.form_id").alias("form_id"), F.col("b.distance").alias("distance"))
@@ -120,7 +120,7 @@ def mapped(values: DataFrame, forms: DataFrame, keys: list[str], value: str) ->
     """
     rows = values.where(F.col(value).isNotNull() & (F.regexp_replace(F.col(value), r"(?U)[\s\p{Z}]+", "") != ""))
     known = forms.where(F.col("form").isNotNull()).select(F.col("form").alias("_form")).distinct()
-    rows = rows.join(F.broadcast(known), F.col(value) == F.col("_form"), "left_anti").select(*keys, folded(value).alias("typed"))
+    rows = rows.join(small(known), F.col(value) == F.col("_form"), "left_anti").select(*keys, folded(value).alias("typed"))
     counted = checkpointed(rows.groupBy("typed").agg(F.count("*").alias("n_rows")))
     fits = checkpointed(nearest(counted.select("typed"), _refs(forms)))
     none = counted.join(fits, "typed", "left_anti").select("typed", F.lit(0).alias("form_id"))

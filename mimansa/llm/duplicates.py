@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mimansa.plans.support import checkpointed, shuffle_width
 
-SCANNED = "id long, first long, run long, part int, edge_key string, n long"
+SCANNED = "row long, no_id boolean, first long, first_no_id boolean, run long, part int, edge_key string, n long"
 
 
 def squeezed(column: str | Column) -> Column:
@@ -38,59 +38,71 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    last_key, run, first = None, -1, 0
-    held: list[tuple[np.ndarray, int, int]] = []  # ids of the open run, its number, its first id
-    held_key = None
+    last_key, run, first, first_no_id = None, -1, 0, False
 
-    def out(ids, firsts, runs, keys, counts):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(runs, pa.int64()), pa.array(np.full(n, part, dtype=np.int32)), pa.array(keys, pa.string()), pa.array(counts, pa.int64())],
-            names=["id", "first", "run", "part", "edge_key", "n"],
-        )
+    def out(rows, no_ids, firsts, firsts_no_id, runs, keys, counts):
+        n = len(rows)
+        columns = [pa.array(rows, pa.int64()), pa.array(no_ids, pa.bool_()), pa.array(firsts, pa.int64()), pa.array(firsts_no_id, pa.bool_()), pa.array(runs, pa.int64())]
+        columns += [pa.array(np.full(n, part, dtype=np.int32)), pa.array(keys, pa.string()), pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "no_id", "first", "first_no_id", "run", "part", "edge_key", "n"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, ids = batch.column("key"), batch.column("id").to_numpy(zero_copy_only=False)
-        change = np.empty(len(ids), dtype=bool)
+        keys, rows, no_ids = batch.column("key"), batch.column("row").to_numpy(zero_copy_only=False), batch.column("no_id").to_numpy(zero_copy_only=False)
+        n = len(rows)
+        change = np.empty(n, dtype=bool)
         change[0] = last_key is None or keys[0].as_py() != last_key
-        change[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+        change[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         runs = run + np.cumsum(change)
         starts = np.flatnonzero(change)
-        firsts = np.full(len(ids), first, dtype=np.int64)
+        firsts, firsts_no_id = np.full(n, first, dtype=np.int64), np.full(n, first_no_id, dtype=bool)
         if len(starts):
-            firsts[starts[0] :] = np.repeat(ids[starts], np.diff([*starts, len(ids)]))
-        edge = [None] * len(ids)
+            sizes = np.diff([*starts, n])
+            firsts[starts[0] :], firsts_no_id[starts[0] :] = np.repeat(rows[starts], sizes), np.repeat(no_ids[starts], sizes)
+        edge = [None] * n
         if run < 0:  # the first run of the partition
             edge[0] = keys[0].as_py()
-        yield out(ids, firsts, runs, edge, np.ones(len(ids), dtype=np.int64))
-        run, first, last_key = int(runs[-1]), int(firsts[-1]), keys[-1].as_py()
-    if run > 0:  # the last run, in a row of its own without an id
-        yield out(np.array([-1]), np.array([first]), np.array([run]), [last_key], np.array([0]))
+        yield out(rows, no_ids, firsts, firsts_no_id, runs, edge, np.ones(n, dtype=np.int64))
+        run, first, first_no_id, last_key = int(runs[-1]), int(firsts[-1]), bool(firsts_no_id[-1]), keys[-1].as_py()
+    if run > 0:  # the last run, in a row of its own that counts nothing
+        yield out(np.array([-1]), np.array([False]), np.array([first]), np.array([first_no_id]), np.array([run]), [last_key], np.array([0]))
+
+
+def _named(df: DataFrame, id_column: str) -> tuple[Column, Column]:
+    """What tells a row: its id or, for a row without one, the hash of all its fields; and whether it has none."""
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])))
+    return F.coalesce(F.col(id_column).cast("bigint"), whole), F.col(id_column).isNull()
 
 
 def duplicate_groups(df: DataFrame, id_column: str, either_order: list[str], exact: list[str]) -> DataFrame:
-    """id, first: every row of `df` with the smallest id of its group; a row without copies is its own first.
+    """row, no_id, first, first_no_id: every row of `df` with the first of its group, the smallest id.
 
-    Ids must be unique and not null (rows with a null id are left out). Nulls in any field are values like others; blank and
-    null are one value in the loose fields only. An empty table gives an empty result. Other columns do not matter.
+    `row` is the id. A row with a null id takes part as well: `no_id` is true and `row` a hash of its fields; it is the
+    first of its group only if no row of it has an id. Ids that are not null must be unique. Nulls in any field are
+    values like others; blank and null are one value in the loose fields only. An empty table gives an empty result.
     """
-    keyed = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), canonical_key(either_order, exact).alias("key"))
-    runs = keyed.repartitionByRange(shuffle_width(df.sparkSession), "key", "id").sortWithinPartitions("key", "id")
+    row, no_id = _named(df, id_column)
+    keyed = df.select(row.alias("row"), no_id.alias("no_id"), canonical_key(either_order, exact).alias("key"))
+    runs = keyed.repartitionByRange(shuffle_width(df.sparkSession), "key", "no_id", "row").sortWithinPartitions("key", "no_id", "row")
     scanned = checkpointed(runs.mapInArrow(_scan, SCANNED))
     # at most two edge runs a partition, so this table is bounded by twice the number of partitions
-    edges = scanned.where(F.col("edge_key").isNotNull()).select("part", "run", "edge_key", F.col("first").alias("edge_first")).distinct()
-    stitched = edges.groupBy("edge_key").agg(F.min("edge_first").alias("whole_first")).join(edges, "edge_key").select("part", "run", "whole_first")
-    rows = scanned.where(F.col("n") == 1)
-    return rows.join(F.broadcast(stitched), ["part", "run"], "left").select("id", F.coalesce("whole_first", "first").alias("first"))
+    edges = scanned.where(F.col("edge_key").isNotNull()).select("part", "run", "edge_key", F.struct("first_no_id", "first").alias("edge_first")).distinct()
+    stitched = edges.groupBy("edge_key").agg(F.min("edge_first").alias("whole")).join(edges, "edge_key").select("part", "run", "whole")
+    rows = scanned.where(F.col("n") == 1).join(F.broadcast(stitched), ["part", "run"], "left")
+    return rows.select("row", "no_id", F.coalesce("whole.first", "first").alias("first"), F.coalesce("whole.first_no_id", "first_no_id").alias("first_no_id"))
 
 
 def collapsed(df: DataFrame, id_column: str, either_order: list[str], exact: list[str]) -> DataFrame:
-    """One record for each group, the one with the smallest id, with the exact number of its copies as `copies`."""
-    groups = duplicate_groups(df, id_column, either_order, exact)
-    counts = groups.groupBy("first").agg(F.count("*").alias("copies"))
-    return df.drop("copies").join(counts, F.col(id_column) == F.col("first")).drop("first")
+    """One record for each group, the one with the smallest id, with the exact number of its copies as `copies`.
+
+    A group whose rows all lack an id is one record with a null id.
+    """
+    counts = duplicate_groups(df, id_column, either_order, exact).groupBy("first", "first_no_id").agg(F.count("*").alias("copies"))
+    row, no_id = _named(df, id_column)
+    rows = df.withColumns({"_row": row, "_no_id": no_id}).drop("copies")
+    kept = rows.join(counts.select(F.col("first").alias("_row"), F.col("first_no_id").alias("_no_id"), "copies"), ["_row", "_no_id"])
+    return kept.dropDuplicates(["_row", "_no_id"]).drop("_row", "_no_id")
 
 
 EITHER = ["brand_name", "manufacturer"]
@@ -98,6 +110,6 @@ EXACT = ["price_inr", "is_discontinued", "dosage_form", "pack_size", "pack_unit"
 
 
 def retyped_rows(medicines: DataFrame) -> DataFrame:
-    """row_id_first, row_id_copy of the medicines table."""
-    groups = duplicate_groups(medicines, "row_id", EITHER, EXACT)
-    return groups.where(F.col("id") != F.col("first")).select(F.col("first").alias("row_id_first"), F.col("id").alias("row_id_copy"))
+    """row_id_first, row_id_copy of the medicines table; pairs name rows by their id, so rows without one are in none."""
+    groups = duplicate_groups(medicines, "row_id", EITHER, EXACT).where(~F.col("no_id") & (F.col("row") != F.col("first")))
+    return groups.select(F.col("first").alias("row_id_first"), F.col("row").alias("row_id_copy"))

@@ -30,10 +30,16 @@ def test_duplicates_edge_cases(spark):
         MEDICINE,
     )
     assert rows(duplicates.retyped_rows(df)) == [(10, 11), (3, 9), (6, 7), (6, 8)]
-    assert rows(duplicates.collapsed(df.withColumn("copies", F.lit(0)), "row_id", duplicates.EITHER, duplicates.EXACT), "row_id", "copies") == [(10, 2), (3, 2), (5, 1), (6, 3)]
+    assert rows(duplicates.collapsed(df.withColumn("copies", F.lit(0)), "row_id", duplicates.EITHER, duplicates.EXACT), "row_id", "copies") == [(10, 2), (3, 3), (5, 1), (6, 3)]
     assert duplicates.retyped_rows(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_counted(spark):
+    data = [medicine(4, "a", "m"), medicine(None, "A", "m"), medicine(None, "A", "m"), medicine(None, "only", "m"), medicine(None, "ONLY", "m"), medicine(None, "only", "m"), medicine(2, "b", "m")]
+    got = duplicates.collapsed(spark.createDataFrame(data, MEDICINE).repartition(3), "row_id", duplicates.EITHER, duplicates.EXACT)
+    assert rows(got.withColumn("brand_name", F.lower("brand_name")), "row_id", "brand_name", "copies") == [(2, "b", 1), (4, "a", 3), (None, "only", 3)]
+
+
 def test_duplicates_with_a_hot_group(spark):
     rng = random.Random(1)
     data = [medicine(i, "hot" if i % 3 == 0 else f"b{rng.randrange(300)}", "m", price_inr=str(i % 2)) for i in range(6000)]
@@ -82,6 +88,14 @@ def test_pigeonhole_equals_brute_force(spark):
     assert got == {x.typed: x.d for x in brute.collect()}
 
 
+def test_long_references(spark):
+    long = "powder and solvent for prolonged release suspension for injection in a pre filled pen"
+    refs = spark.createDataFrame([(1, long), (2, "gel")], "form_id int, ref string")
+    typed = [long, long.replace("solvent", "slvent").replace("filled", "filed"), long[: len(long) // 2], "gel"]
+    got = {r.typed: (r.form_id, r.distance) for r in canonical.nearest(spark.createDataFrame([(t,) for t in typed], "typed string"), refs).collect()}
+    assert got == {typed[0]: (1, 0), typed[1]: (1, 2), "gel": (2, 0)}
+
+
 # --- repeated lines --------------------------------------------------------------------------------------------------
 
 
