@@ -114,6 +114,12 @@ def p8_ids(spark, d):
     return tokens.encoded(spread(read(spark, d, "documents")))
 
 
+@query("p8_decoded", "select doc_id, coalesce(text, '') as text from documents")
+def p8_decoded(spark, d):
+    # what the ids say again: the round trip of every text
+    return tokens.decoded(tokens.encoded(spread(read(spark, d, "documents"))))
+
+
 @query("p5_cleaned", """
 with z as (select *, row_number() over () as rid from zone_docs),
 l as (select rid, doc_id, domain, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from z where text is not null),

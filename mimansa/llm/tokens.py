@@ -4,6 +4,8 @@ Words are cut in Spark by the tokenizer's own pattern. Documents fall into bucke
 the distinct words of the buckets are made distinct over the corpus, each is encoded once, and the ids go back to the
 buckets that hold the word. There every document reads its words by position, along its text. Neither side
 of the last step can grow with the corpus: a bucket holds BUCKET_CHARS of text (or one longer text) and its words.
+A word that stands in every bucket would gather them all in one task, so buckets are kept as lists in chunks of
+CHUNK_BUCKETS: the table of words meets one row a chunk, and the lists are opened behind that join.
 
 Null and empty texts both have the empty list of ids. Text that looks like a special token is plain text.
 """
@@ -19,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mimansa.plans.support import shuffle_width
+
 #: Characters of text in a bucket.
 BUCKET_CHARS = 6_000_000
+#: Buckets of a chunk, and of a task of the last step.
+CHUNK_BUCKETS, TASK_BUCKETS = 1024, 4
 #: Stands between words on the way.
 MARK = "\x01"
 # Fixed value: the published word pattern of byte-level BPE, with Unicode white space.
@@ -109,15 +115,18 @@ def encoded(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text:
     path = path or vocabulary_path()
     size = docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_CHARS))
-    placed = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    pairs = placed.select("bucket", F.explode(F.array_distinct(words_of("text"))).alias("word")).where(F.col("word").isNotNull()).distinct()
-    # buckets are counted so that both readers of the pairs need all of them and share one shuffle
-    table = pairs.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") > 0).select("word").mapInArrow(_encode_words(path), "word string, ids binary")
-    per_bucket = pairs.join(table, "word").select(F.col("bucket").alias("its_bucket"), "word", "ids")
+    parts = max(shuffle_width(docs.sparkSession), -(-buckets // TASK_BUCKETS))
+    # the text has a say in the bucket, so rows that share an id or have none are spread too
+    placed = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    pairs = placed.select("bucket", F.explode(F.array_distinct(words_of("text"))).alias("word")).where(F.col("word").isNotNull())
+    held = pairs.groupBy(F.floor(F.col("bucket") / CHUNK_BUCKETS).alias("chunk"), "word").agg(F.collect_set("bucket").alias("held_in"))
+    # buckets are counted so that both readers of the lists need all of them and share one shuffle
+    table = held.groupBy("word").agg(F.sum(F.size("held_in")).alias("_n")).where(F.col("_n") > 0).select("word").mapInArrow(_encode_words(path), "word string, ids binary")
+    per_bucket = held.join(table, "word").select(F.explode("held_in").alias("its_bucket"), "word", "ids").repartition(parts, "its_bucket")
     marked = F.contains("text", F.lit(MARK))
     cut = placed.select(
         "bucket", "doc_id", F.when(~marked, F.array_join(words_of("text"), MARK)).alias("cut"), F.when(marked, F.col("text")).alias("text"), F.when(marked, F.transform(words_of("text"), F.length)).alias("lengths")
-    )
+    ).repartition(parts, "bucket")
     return cut.groupBy("bucket").cogroup(per_bucket.groupBy("its_bucket")).applyInArrow(_assemble(path), "doc_id long, ids array<int>")
 
 
@@ -128,10 +137,13 @@ def pieces(spark, path: str | None = None) -> DataFrame:
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text: the pieces of every id joined in order; an empty list is an empty text."""
-    each = ids.select("doc_id", F.posexplode("ids").alias("pos", "id"))
-    joined = each.join(F.broadcast(pieces(ids.sparkSession, path)), "id")
+    """doc_id, text: the pieces of every id joined in order; an empty or missing list is an empty text.
+
+    One row for each distinct (doc_id, ids); the vocabulary is a table of fixed size.
+    """
+    keyed = ids.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).withColumn("_h", F.xxhash64("ids")).dropDuplicates(["doc_id", "_h"])
+    each = keyed.select("doc_id", "_h", F.posexplode_outer("ids").alias("pos", "id"))
+    joined = each.join(F.broadcast(pieces(ids.sparkSession, path)), "id", "left")
     order = F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h"))))
-    text = F.decode(F.unhex(F.array_join(F.transform(order, lambda s: s["h"]), "")), "UTF-8")
-    whole = joined.groupBy("doc_id").agg(text.alias("_t"))
-    return ids.select("doc_id").distinct().join(whole, "doc_id", "left").select("doc_id", F.coalesce("_t", F.lit("")).alias("text"))
+    text = F.decode(F.unhex(F.array_join(F.transform(order, lambda s: F.coalesce(s["h"], F.lit(""))), "")), "UTF-8")
+    return joined.groupBy("doc_id", "_h").agg(text.alias("text")).select("doc_id", "text")
