@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 LANGS = ["bn", "en", "hi", "hi-Latn", "mr", "ta"]
 #: Bounds of the training sample.
 DOCS_PER_LANGUAGE, SEGMENTS_PER_LANGUAGE = 400, 1500
+#: Texts of more characters than this are not taken as training samples, which bounds what comes to the driver.
+TEXT_CHARS = 20_000
 #: Hash buckets, embedding size, longest subword, rounds of training.
 BUCKETS, SIZE, ORDER, EPOCHS = 1 << 17, 16, 5, 4
 MIN_CONFIDENCE = 0.5
@@ -335,15 +337,22 @@ def train(sample: list[tuple[str, str, str]], seed: int = 7) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded training sample: id, lang, text. The limit by rank is applied before the shuffle."""
-    named = labels.select("doc_id", label_language("lang").alias("lang")).where(F.col("lang").isin(LANGS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "crawled_at", "text")
-    rows = docs.where(F.length("text") > 0).select("doc_id", "text", "crawled_at").join(named, "doc_id")
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= DOCS_PER_LANGUAGE).select("doc_id", "lang", "text")
+    """The bounded training sample: id, lang, text of at most TEXT_CHARS.
+
+    Ids are ranked in the label table alone; texts are then read for the ranked ids, a table of fixed size. Longer texts
+    teach nothing and so do ids without a document, so twice as many ids are ranked as are taken.
+    """
+    named = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("_l")).select("doc_id", label_language("_l").alias("lang")).where(F.col("lang").isin(LANGS))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = named.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * DOCS_PER_LANGUAGE)
+    rows = docs.where((F.length("text") > 0) & (F.length("text") <= TEXT_CHARS)).select("doc_id", "text", "crawled_at").join(F.broadcast(ids), "doc_id")
+    newest = rows.groupBy("lang", "_r", "doc_id").agg(F.max_by("text", F.struct("crawled_at", "text")).alias("text"))
+    taken = Window.partitionBy("lang").orderBy("_r", "doc_id")
+    return newest.withColumn("_r", F.row_number().over(taken)).where(F.col("_r") <= DOCS_PER_LANGUAGE).select("doc_id", "lang", "text")
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """The sample has at most DOCS_PER_LANGUAGE documents for each of the six languages, whatever the corpus has."""
+    """The sample has at most DOCS_PER_LANGUAGE documents of TEXT_CHARS for each of the six languages, whatever the corpus has."""
     return train([(r["doc_id"], r["lang"], r["text"]) for r in labelled(docs, labels).collect()])
 
 
