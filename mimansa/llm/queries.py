@@ -59,7 +59,19 @@ def p5_found(spark, d):
     return repeated_lines.found(spread(read(spark, d, "zone_docs")))
 
 
-@query("p9_found")
+_WORDS = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '[\p{Cf}\p{Mn}­͏️]+', '', 'g'), '</?[A-Za-z][^<>\n]{0,80}>|&(?:nbsp|zwnj|shy|#\d{1,6});', ' ', 'g')), '[^\p{L}\p{Nd}]+', ' ', 'g'))"
+_PASSAGES = f"""
+with dw as (select doc_id, row_number() over () as r, string_split({_WORDS}, ' ') as ws from documents where text is not null),
+iw as (select item_id, string_split({_WORDS}, ' ') as ws from eval_items where text is not null),
+dp as (select doc_id, r, unnest(range(1, len(ws) - 10)) as a, ws from dw where len(ws) >= 12),
+ip as (select item_id, unnest(range(1, len(ws) - 10)) as b, ws from iw where len(ws) >= 12),
+ds as (select doc_id, r, a, array_to_string(list_slice(ws, a, a + 11), ' ') as w from dp),
+ws as (select item_id, b, array_to_string(list_slice(ws, b, b + 11), ' ') as w from ip),
+hit as (select doc_id, r, item_id, a, b from ds join ws using (w))
+"""
+
+
+@query("p9_found", _PASSAGES + "select distinct doc_id, item_id from hit")
 def p9_found(spark, d):
     return leakage.found(spread(read(spark, d, "documents")), read(spark, d, "eval_items"))
 
@@ -142,6 +154,7 @@ def p7_main(spark, d):
     return boilerplate.main_text(spread(read(spark, d, "stored_pages")), spread(read(spark, d, "zone_docs")))
 
 
-@query("p9_spans")
+@query("p9_spans", _PASSAGES + """, run as (select *, a - row_number() over (partition by r, item_id, a - b order by a) as run from hit)
+select doc_id, item_id, cast(min(a) - 1 as integer) as start_word, cast(min(b) - 1 as integer) as item_word, cast(count(*) + 11 as integer) as n_words from run group by r, doc_id, item_id, a - b, run""")
 def p9_spans(spark, d):
     return leakage.leaks(spread(read(spark, d, "documents")), read(spark, d, "eval_items"))

@@ -132,15 +132,40 @@ def test_deltas_equal_one_batch(spark):
     assert set(many) == brute
 
 
-def test_only_crossed_lines_are_reported(spark):
-    state = repeated_lines.LineCounts.empty(spark)
-    crossings = []
+def test_only_crossed_lines_are_reported(spark, tmp_path):
+    crossings, n = [], 0
     for batch in (3, 1, 1, 2):
-        df = zone_docs(spark, [(f"{len(crossings)}-{i}", "a", None, "footer") for i in range(batch)])
-        state, crossed = state.merge(repeated_lines.numbered_lines(df))
-        crossings.append(crossed.count())
+        store = repeated_lines.LineStore(spark, str(tmp_path / "store"))  # a new one each time: the tables hold the state
+        df = zone_docs(spark, [(f"{n}-{i}", "a", None, "footer") for i in range(batch)])
+        crossings.append(store.merge(repeated_lines.numbered_lines(df)).count())
+        n += 1
     assert crossings == [0, 0, 1, 0]
-    assert state.counts.first().n_docs == 7
+    assert store.counts().first().n_docs == 7
+
+
+def test_a_delta_reads_itself_and_rebuilds_what_crossed(spark, tmp_path):
+    first = zone_docs(spark, [(f"a{i}", "s", None, f"own {chr(97 + i)}\nfooter") for i in range(4)] + [(f"b{i}", "s", None, f"text {chr(97 + i)}\nmenu") for i in range(5)])
+    first.write.parquet(str(tmp_path / "first"))
+    store = repeated_lines.LineStore(spark, str(tmp_path / "store"))
+    store.merge(repeated_lines.numbered_lines(spark.read.parquet(str(tmp_path / "first"))))
+    assert {r.doc for r in store.to_rebuild().collect()} == {f"b{i}" for i in range(5)}
+    (tmp_path / "first").rename(tmp_path / "gone")  # the texts of the first part cannot be read any more
+    store = repeated_lines.LineStore(spark, str(tmp_path / "store"))
+    delta = zone_docs(spark, [("c0", "s", None, "new\nFooter 7\nmenu"), ("a1", "s", None, "own b\nfooter"), ("c1", "s", None, "nothing else")])
+    assert [r.n_docs for r in store.merge(repeated_lines.numbered_lines(delta)).collect()] == [5]
+    assert rows(store.to_rebuild().distinct(), "doc", "line_no") == sorted([(f"a{i}", 2) for i in range(4)] + [("c0", 2), ("c0", 3)])
+    # a merge that was cut off before its last table is done again
+    (tmp_path / "store/crossed/part=2/_SUCCESS").unlink()
+    again = repeated_lines.LineStore(spark, str(tmp_path / "store"))
+    assert again.parts() == 1
+    again.merge(repeated_lines.numbered_lines(delta))
+    assert again.counts().agg(F.max("n_docs")).first()[0] == 6
+
+
+def test_a_line_repeated_within_few_documents(spark, monkeypatch):
+    monkeypatch.setattr(repeated_lines.hot_safe_join, "__defaults__", (50,))
+    data = [(f"d{i}", "a", None, "\n".join(["again"] * 200 + [f"own {chr(97 + i)}"])) for i in range(6)]
+    assert repeated_lines.found(zone_docs(spark, data)).count() == 1200
 
 
 # --- languages -------------------------------------------------------------------------------------------------------
@@ -291,13 +316,27 @@ def test_leak_edge_cases(spark, monkeypatch):
     items = spark.createDataFrame([(1, words), (2, words), (3, None), (4, "short")], "item_id long, text string")
     expected = [(d, i) for d in (1, 4, 5) for i in (1, 2)]
     assert rows(leakage.found(docs, items)) == expected
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 1)  # items beyond the bound go through a salted shuffle
     assert rows(leakage.found(docs, items)) == expected
     assert leakage.found(docs, items.limit(0)).count() == 0
     assert leakage.found(docs.limit(0), items).count() == 0
     assert rows(leakage.leaks(docs, items).where("doc_id = 1 and item_id = 1"), "start_word", "n_words") == [(1, 14)]
 
 
+def test_every_span_is_reported(spark):
+    item = [f"n{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join([*item[:13], "x", *item[20:35], "y", *item[:13]])), (None, " ".join(item)), (None, " ".join(item)), (None, " ".join(item[:12]))], "doc_id long, text string")
+    got = rows(leakage.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")))
+    assert got == [(1, 7, 0, 0, 13), (1, 7, 14, 20, 15), (1, 7, 30, 0, 13), (None, 7, 0, 0, 12), (None, 7, 0, 0, 40)]
+
+
+def test_a_gram_of_all_texts_pairs_nothing_by_itself(spark):
+    common = "take this twice a day after food"
+    docs = spark.createDataFrame([(i, f"{' '.join(f'd{i}x{k}' for k in range(9))} {common} {' '.join(f'e{i}x{k}' for k in range(9))}") for i in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{' '.join(f'i{i}x{k}' for k in range(9))} {common} {' '.join(f'j{i}x{k}' for k in range(9))}") for i in range(300)], "item_id long, text string")
+    assert leakage.shared_spans(docs, items).count() == 0
+
+
 # --- personal information --------------------------------------------------------------------------------------------
 
 TEXT = (
