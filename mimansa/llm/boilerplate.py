@@ -1,25 +1,36 @@
 """Main content of web pages by line-block distribution.
 
-Markup is stripped and every line gets a mass: its text length, or nothing where the line is furniture by its own words
-or by naming the site. Masses are summed over sliding windows of lines. The content begins at the first surge, where a
-window holds SURGE characters, and ends at the last dive, after which no window does; text between them is kept. Lines
-short of mass at either edge join the content as the page's heading, a list or a table that touches it; furniture
-between surge and dive is cut out by the same words that gave it no mass.
+Markup is stripped and every line gets a mass: its text length, or nothing where the line stands outside the body by its
+odds. The odds are those of `lines`, a model that the line-block distribution of the corpus teaches, without any given
+wording; where they leave a line open, a list of phrases refines them. Masses are summed over sliding windows of lines.
+The content begins at the first surge, where a window holds SURGE characters, and ends at the last dive, after which no
+window does; text between them is kept. Lines short of mass at either edge join the content as the page's heading, a
+list or a table that touches it; furniture between surge and dive is cut out by the same odds that gave it no mass.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mimansa.llm import lines as block
+
 WINDOW, SURGE = 3, 60
+#: Log odds from which a line stands outside the body. Sentences are what a body is made of and have far lower odds in it
+#: than other lines, entries of lists and tables stand at its edges too, and so does a heading, which is let go last.
+SENTENCE, OUTSIDE, LISTED, HEADING = -1.2, 0.9, 1.6, 2.6
+#: Log odds down to which the phrases are asked.
+OPEN = -4.0
+#: Characters scored at once in a worker.
+CHUNK_CHARS = 1_000_000
 
 # Entries of site menus, and words of cookie notes, bylines, prompts, notices, counters and footers.
 MENU = (
@@ -74,7 +85,7 @@ _STARTS = re.compile(STARTS)
 _MENU = re.compile(rf"(?:\W*(?:{MENU})(?!\w))+\W*")
 _BULLET = re.compile(r"(?:[-*•·–▪◦]|\(?\d{1,3}[.)]|[a-z][.)])\s+\S", re.I)
 _ROW = re.compile(r"\S\s*\|\s*\S.*\|\s*\S|\S\s+[-:]\s+\S.*\S\s+[-:]\s+\S|\t\S")
-_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|</?[a-zA-Z][^<>\n]{0,200}>", re.S)
+_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|</?[a-zA-Z][^<>\n]*>", re.S)
 #: Lines that name a site's owner, with the name behind.
 _OWNER = re.compile(r"(?:©|\(c\)|copyright)\s*\d{4}\s+([^,|.]{4,60})|(?:powered|designed and hosted|content owned|designed|hosted|maintained) by\s+([^,|.]{4,60}?)(?:\s+web services)?$|helpline of\s+([^:,|.]{4,60})|visitor number \d+ of\s+([^,|.]{4,60})|last reviewed on \S+ by\s+([^,|.]{4,60})")
 
@@ -101,15 +112,37 @@ def site_names(lines: list[str]) -> set[str]:
     return {next(g for g in m.groups() if g).strip() for line in lines if (m := _OWNER.search(line))}
 
 
-def content(text: str, title: str | None = None) -> list[bool]:
-    """For every line whether it is main content; blank lines are not."""
+def line_mass(line: str) -> int:
+    """What a line weighs by its form alone: sentences have their length."""
+    return len(line) if is_sentence(line) and not line.endswith(":") and len(line) >= 40 else 0
+
+
+def said_outside(lines: list[str], listed: list[bool], odds: list[float] | None, phrases: bool) -> list[bool]:
+    """For every line whether it stands outside the body: by its odds and, where those are open, by phrases."""
+    if odds is None:
+        return [bool(line) and said_by_furniture(line.lower()) for line in lines]
+    least = [LISTED if entry else SENTENCE if line_mass(line) else OUTSIDE for line, entry in zip(lines, listed)]
+    return [bool(line) and (z >= t or phrases and z > OPEN and said_by_furniture(line.lower())) for line, t, z in zip(lines, least, odds)]
+
+
+def _tail(line: str) -> str:
+    """What stands last in a path such as "Home > Schemes > Heart"; nothing for other lines."""
+    return re.split(r"\s*(?:>|»|›)\s*| / ", line)[-1].strip() if re.search(r">|»|›| / ", line) else ""
+
+
+def content(text: str, title: str | None = None, odds: list[float] | None = None, phrases: bool = True) -> list[bool]:
+    """For every line whether it is main content; blank lines are not.
+
+    `odds` are the log odds of the lines to stand outside; without them the phrases alone decide.
+    """
     lines = lines_of(text)
     low = [line.lower() for line in lines]
-    said = [bool(line) and said_by_furniture(line) for line in low]
-    names = [n for n in site_names([line for line, f in zip(low, said) if f]) if len(n.split()) > 1]
+    listing_ = [bool(_BULLET.match(line) or len(line) < 300 and _ROW.search(line)) for line in lines]
+    said = said_outside(lines, listing_, odds, phrases)
+    names = [n for n in site_names([line for line, f in zip(low, said) if f]) if len(n.split()) > 1] if phrases else []
     own = " ".join(title.split()).lower() if isinstance(title, str) else ""
-    crumbs = [re.split(r"\s*(?:>|»|›| / )\s*", line)[-1] for line, f in zip(low, said) if f and re.match(r"(?:you are here\b|home\b|मुखपृष्ठ|होम)", line) and re.search(r">|»|›| / ", line)]
-    heading = {own, *crumbs} & {line for line in low if line and not _MENU.fullmatch(line)}
+    crumbs = [t for line, f in zip(low, said) if f and (t := _tail(line))]
+    heading = {h for h in {own, *crumbs} & set(low) if h and not _MENU.fullmatch(h)}
     n = len(lines)
     furniture = [low[i] not in heading and (said[i] or any(name in low[i] for name in names)) for i in range(n)]
     mass = [0 if furniture[i] else len(lines[i]) for i in range(n)]
@@ -131,13 +164,18 @@ def content(text: str, title: str | None = None) -> list[bool]:
             surge -= 1
         while dive + 1 < len(at) and m[dive + 1]:
             dive += 1
+    if odds is not None and not heading and not own and surge > 0:
+        # of what stands above the content, the least outlying short line can be its heading
+        above = [i for i in at[: min(surge, len(at))] if len(lines[i]) < 150 and not _tail(low[i]) and odds[i] < HEADING and not (phrases and said_by_furniture(low[i]))]
+        heading = {low[min(above, key=lambda i: odds[i])]} if above and strong else heading
+        furniture = [f and low[i] not in heading for i, f in enumerate(furniture)]
     headed, listing = bool(heading), False
     for j, i in enumerate(at):
         if furniture[i]:
             continue
         line = lines[i]
         inside = surge <= j <= dive
-        listed = line.endswith(":") or _BULLET.match(line) or len(line) < 300 and _ROW.search(line)
+        listed = line.endswith(":") or listing_[i]
         first = j < surge and not headed  # the page's heading, with furniture between it and the content
         kept[i] = bool(inside or listed or low[i] in heading or first or listing and not whole[j])
         headed = headed or not listed
@@ -148,26 +186,49 @@ def content(text: str, title: str | None = None) -> list[bool]:
 LINES = T.ArrayType(T.IntegerType())
 
 
-@F.pandas_udf(LINES)
-def other_lines(texts: pd.Series, titles: pd.Series) -> pd.Series:
-    """Numbers of the lines, from 1, that hold text and are no main content."""
+def trained(texts: DataFrame, text: str = "text") -> block.LineModel | None:
+    """The model of a corpus, from a sample of bounded size."""
+    return block.fit([[line for line in lines_of(t) if line] for t in block.sample(texts, text)], line_mass)
+
+
+def _kept(texts: pd.Series, titles: pd.Series, model: block.LineModel | None, phrases: bool) -> Iterator[tuple[list[str], list[bool]] | None]:
+    """Lines and verdicts of each text, None for a null; the lines of many texts are scored at once."""
+    rows = [(lines_of(x), x, t) if isinstance(x, str) else None for x, t in zip(texts, titles)]
+    at = 0
+    while at < len(rows):
+        stop, size = at, 0
+        while stop < len(rows) and (stop == at or size < CHUNK_CHARS):
+            size += len(rows[stop][1]) if rows[stop] else 0
+            stop += 1
+        odds = model.odds([line for r in rows[at:stop] if r for line in r[0]]).tolist() if model else None
+        used = 0
+        for r in rows[at:stop]:
+            if r is None:
+                yield None
+                continue
+            mine = None if odds is None else odds[used : used + len(r[0])]
+            used += len(r[0])
+            yield r[0], content(r[1], r[2], mine, phrases)
+        at = stop
+
 
-    def numbers(text, title):
-        if not isinstance(text, str):
-            return []
-        return [i + 1 for i, (line, keep) in enumerate(zip(lines_of(text), content(text, title))) if line and not keep]
+def _column(df: DataFrame, model: block.LineModel | None, phrases: bool, kind: str | T.DataType, of: Callable) -> Column:
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    return pd.Series([numbers(x, t) for x, t in zip(texts, titles)])
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series, titles: pd.Series) -> pd.Series:
+        return pd.Series([of(x) for x in _kept(texts, titles, shared.value, phrases)], dtype=object)
 
+    return run("text", "title")
 
-@F.pandas_udf(T.StringType())
-def main_text_udf(texts: pd.Series, titles: pd.Series) -> pd.Series:
-    def kept(text, title):
-        if not isinstance(text, str):
-            return None
-        return "\n".join(line for line, keep in zip(lines_of(text), content(text, title)) if keep)
 
-    return pd.Series([kept(x, t) for x, t in zip(texts, titles)], dtype=object)
+def _other(x) -> list[int]:
+    """Numbers of the lines, from 1, that hold text and are no main content."""
+    return [] if x is None else [i + 1 for i, (line, keep) in enumerate(zip(*x)) if line and not keep]
+
+
+def _main(x) -> str | None:
+    return None if x is None else "\n".join(line for line, keep in zip(*x) if keep)
 
 
 def _pages(pages: DataFrame, zones: DataFrame) -> DataFrame:
@@ -176,12 +237,17 @@ def _pages(pages: DataFrame, zones: DataFrame) -> DataFrame:
     return one.unionByName(two).where(F.col("ref").isNotNull() & F.col("text").isNotNull())
 
 
-def found(pages: DataFrame, zones: DataFrame) -> DataFrame:
-    """src, ref, line_no of every line that is not main content. Rows that share a ref are read each; nulls have none."""
-    rows = _pages(pages, zones).select("src", "ref", other_lines("text", "title").alias("_n"))
+def found(pages: DataFrame, zones: DataFrame, phrases: bool = True) -> DataFrame:
+    """src, ref, line_no of every line that is not main content. Rows that share a ref are read each; nulls have none.
+
+    Without `phrases` the list of phrases has no say.
+    """
+    every = _pages(pages, zones)
+    rows = every.select("src", "ref", _column(every, trained(every), phrases, LINES, _other).alias("_n"))
     return rows.where(F.size("_n") > 0).select("src", "ref", F.explode("_n").alias("line_no")).distinct()
 
 
-def main_text(pages: DataFrame, zones: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, zones: DataFrame, phrases: bool = True) -> DataFrame:
     """src, ref and the main text, one row for each distinct text of a ref."""
-    return _pages(pages, zones).distinct().select("src", "ref", main_text_udf("text", "title").alias("main"))
+    every = _pages(pages, zones)
+    return every.distinct().select("src", "ref", _column(every, trained(every), phrases, "string", _main).alias("main"))

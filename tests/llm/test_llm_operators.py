@@ -253,6 +253,38 @@ def test_boilerplate(spark):
     assert main["p"].startswith("How to apply\nBring")
 
 
+def strange_pages(rng, n):
+    """Pages whose furniture no phrase of the list knows, with the verdict of every line."""
+    town = lambda: rng.choice("Bo Tra Fen Ma Lu Ke".split()) + rng.choice("dal rin os ter mos vik".split()) + rng.choice("by ham ton wick".split())
+    body = [
+        "The ferry from {0} to {1} leaves at {2} and takes passengers with a valid pass only.", "Farmers near {0} lost about {2} sheep when the river rose in the night.", "A new bridge at {0} will carry carts and horses from {1} by next year.",
+        "The council of {0} decided that {2} lamps are to be lit along the harbour wall.", "Bakers in {0} say that flour from {1} has become dearer by {2} coins a sack.", "When the mill at {0} stands still, the millers of {1} help each other out.",
+    ]
+    top = ["Start page · Maps · Weather · Archive of the {3} Courier", "Small data crumbs keep this place running; whoever reads on says yes to them.", "From the pen of our correspondent in {3}", "Words: {2} - reading time {2} min"]
+    bottom = ["More stories like these: the {1} harbour", "Others looked at: the mills of {1}", "Put the {3} Courier on your doorstep each week", "Typeset and served from {3} by the Courier press", "Nothing here may be reprinted unless the {3} Courier agrees in writing.", "Reader number {2} since the founding"]
+    pages = []
+    for _ in range(n):
+        f = lambda s: s.format(town(), town(), rng.randrange(2, 90), "Oldhaven")
+        lines = [(f(x), 0) for x in rng.sample(top, 3)] + [(f("News of {0}"), 1)]
+        for _ in range(rng.randrange(6, 14)):
+            lines.append((" ".join(f(x) for x in rng.sample(body, rng.randrange(1, 3))), 1))
+        pages.append(lines + [(f(x), 0) for x in rng.sample(bottom, 5)])
+    return pages
+
+
+def test_furniture_that_no_phrase_knows(spark):
+    rng = random.Random(9)
+    train, held = strange_pages(rng, 300), strange_pages(rng, 60)
+    as_text = lambda page: "\n".join(line for line, _ in page)
+    assert not [line for page in held for line, main in page if boilerplate.said_by_furniture(line.lower())]
+    pages = spark.createDataFrame([(f"p{i}", as_text(p)) for i, p in enumerate(held)] + [(f"t{i}", as_text(p)) for i, p in enumerate(train)], "text_path string, body string")
+    zones = spark.createDataFrame([], "doc_id string, text string, title string")
+    got = {(r.ref, r.line_no) for r in boilerplate.found(pages, zones, phrases=False).collect() if r.ref.startswith("p")}
+    true = {(f"p{i}", n) for i, p in enumerate(held) for n, (_, main) in enumerate(p, 1) if not main}
+    both = len(got & true)
+    assert both / len(true) >= 0.9 and both / len(got) >= 0.95, (both, len(true), len(got))
+
+
 def test_every_phrase_holds_its_piece():
     samples = [line.lower() for line in PAGE.split("\n")] + ["we use cookies.", "see our cookie policy", "12 comments", "visitors so far: 5", "designed and hosted by x", "leave a comment"]
     for (piece, phrase), line in itertools.product(boilerplate.ANYWHERE, samples):
