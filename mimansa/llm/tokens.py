@@ -4,8 +4,8 @@ Words are cut in Spark by the tokenizer's own pattern. Documents fall into bucke
 the distinct words of the buckets are made distinct over the corpus, each is encoded once, and the ids go back to the
 buckets that hold the word. There every document reads its words by position, along its text. Neither side
 of the last step can grow with the corpus: a bucket holds BUCKET_CHARS of text (or one longer text) and its words.
-A word that stands in every bucket would gather them all in one task, so buckets are kept as lists in chunks of
-CHUNK_BUCKETS: the table of words meets one row a chunk, and the lists are opened behind that join.
+A word that stands in every bucket would gather them all in one task, so buckets are kept as bits in chunks of
+CHUNK_BUCKETS: the table of words meets one row a chunk, and the bits are opened behind that join.
 
 Null and empty texts both have the empty list of ids. Text that looks like a special token is plain text.
 """
@@ -25,8 +25,8 @@ from mimansa.plans.support import shuffle_width
 
 #: Characters of text in a bucket.
 BUCKET_CHARS = 6_000_000
-#: Buckets of a chunk, and of a task of the last step.
-CHUNK_BUCKETS, TASK_BUCKETS = 1024, 4
+#: Buckets of a chunk, one bit each of a long, and of a task of the last step.
+CHUNK_BUCKETS, TASK_BUCKETS = 62, 4
 #: Stands between words on the way.
 MARK = "\x01"
 # Fixed value: the published word pattern of byte-level BPE, with Unicode white space.
@@ -119,10 +119,12 @@ def encoded(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text:
     # the text has a say in the bucket, so rows that share an id or have none are spread too
     placed = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     pairs = placed.select("bucket", F.explode(F.array_distinct(words_of("text"))).alias("word")).where(F.col("word").isNotNull())
-    held = pairs.groupBy(F.floor(F.col("bucket") / CHUNK_BUCKETS).alias("chunk"), "word").agg(F.collect_set("bucket").alias("held_in"))
-    # buckets are counted so that both readers of the lists need all of them and share one shuffle
-    table = held.groupBy("word").agg(F.sum(F.size("held_in")).alias("_n")).where(F.col("_n") > 0).select("word").mapInArrow(_encode_words(path), "word string, ids binary")
-    per_bucket = held.join(table, "word").select(F.explode("held_in").alias("its_bucket"), "word", "ids").repartition(parts, "its_bucket")
+    chunk = F.floor(F.col("bucket") / CHUNK_BUCKETS).cast("int")
+    held = pairs.groupBy(chunk.alias("chunk"), "word").agg(F.bit_or(F.expr(f"shiftleft(1L, bucket % {CHUNK_BUCKETS})")).alias("bits"))
+    # bits and chunks are looked at so that both readers of the pairs need all of them and share one shuffle
+    table = held.groupBy("word").agg(F.bit_or("bits").alias("_b"), F.max("chunk").alias("_c")).where((F.col("_b") != 0) & (F.col("_c") >= 0)).select("word").mapInArrow(_encode_words(path), "word string, ids binary")
+    opened = F.filter(F.sequence(F.lit(0), F.lit(CHUNK_BUCKETS - 1)), lambda i: F.getbit("bits", i) == 1)
+    per_bucket = held.join(table, "word").select(F.explode(F.transform(opened, lambda i: F.col("chunk") * CHUNK_BUCKETS + i)).alias("its_bucket"), "word", "ids").repartition(parts, "its_bucket")
     marked = F.contains("text", F.lit(MARK))
     cut = placed.select(
         "bucket", "doc_id", F.when(~marked, F.array_join(words_of("text"), MARK)).alias("cut"), F.when(marked, F.col("text")).alias("text"), F.when(marked, F.transform(words_of("text"), F.length)).alias("lengths")

@@ -309,6 +309,7 @@ def test_tokens_match_the_library_and_round_trip(spark):
 
 def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     monkeypatch.setattr(tokens, "BUCKET_CHARS", 50)
+    monkeypatch.setattr(tokens, "CHUNK_BUCKETS", 4)
     df = spark.createDataFrame([(i, "same words again and again") for i in range(50)], "doc_id long, text string")
     assert {tuple(r.ids) for r in tokens.encoded(df).collect()} == {tuple(tokens.encoder(tokens.vocabulary_path()).encode_ordinary("same words again and again"))}
 
