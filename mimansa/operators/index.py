@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +27,40 @@ def tokens(words: DataFrame) -> DataFrame:
     return words.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
 
 
+def runs(ordered: Column, same: str = "") -> Column:
+    """(first, n) of each run of equal values in a sorted array; `same` is the field that makes them equal."""
+    value = lambda i: F.get(ordered, i)[same] if same else F.get(ordered, i)
+    firsts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (value(i) != value(i - 1)))
+    spans = tx.let(firsts, lambda a: F.transform(a, lambda x, k: F.struct(x.alias("first"), (F.coalesce(F.get(a, k + 1), F.size(ordered)) - x).alias("n"))))
+    return F.when(F.size(ordered) > 0, spans).otherwise(F.array().cast("array<struct<first:int,n:int>>"))
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """doc_id, length, terms, norm: the terms of a document with their tf, counted in its own array, and its norm."""
+
+    def parts(s: Column, r: Column) -> Column:
+        terms = F.transform(r, lambda x: F.struct(F.get(s, x["first"]).alias("term"), x["n"].alias("tf")))
+        norm = F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + F.pow(1.0 + F.log10(x["n"]), F.lit(2))))
+        return F.struct(F.size(s).alias("length"), terms.alias("terms"), norm.alias("norm"))
+
+    return words.select("doc_id", tx.let(F.sort_array("tokens"), lambda s: tx.let(runs(s), lambda r: parts(s, r))).alias("_d")).select("doc_id", "_d.*")
+
+
 def postings(words: DataFrame) -> DataFrame:
-    """term, doc_id, tf: one row a term of a document, counted partly before the shuffle by (document, term)."""
-    return tokens(words).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "tf")
+    """term, doc_id, tf: one row a term of a document, without a shuffle."""
+    terms = tx.let(F.sort_array("tokens"), lambda s: F.transform(runs(s), lambda x: F.struct(F.get(s, x["first"]).alias("term"), x["n"].alias("tf"))))
+    return words.select("doc_id", F.explode(terms).alias("_t")).select("_t.term", "doc_id", "_t.tf")
 
 
 def positional_postings(words: DataFrame) -> DataFrame:
-    """term, doc_id, positions in order."""
-    grouped = tokens(words).groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "doc_id", "positions", F.size("positions").alias("tf"))
+    """term, doc_id, positions in order, tf, without a shuffle."""
+
+    def of(s: Column, x: Column) -> Column:
+        return F.struct(F.get(s, x["first"])["term"].alias("term"), F.transform(F.slice(s, x["first"] + 1, x["n"]), lambda p: p["pos"]).alias("positions"), x["n"].alias("tf"))
+
+    places = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    each = tx.let(places, lambda s: F.transform(runs(s, "term"), lambda x: of(s, x)))
+    return words.select("doc_id", F.explode(each).alias("_t")).select("_t.term", "doc_id", "_t.positions", "_t.tf")
 
 
 def doc_stats(words: DataFrame) -> DataFrame:
@@ -71,29 +97,41 @@ def lookup(posts: DataFrame, term: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """The tables that answer all queries: postings by term, documents, terms and collection figures."""
+    """The tables that answer all queries. `rows` has one row a document, with its terms, length and norm.
+
+    Only `rows` is kept between the passes of a search; all else follows from it without a shuffle, but `terms`, which
+    counts the vocabulary and is only asked for where a score needs all of it.
+    """
 
     words: DataFrame
-    posts: DataFrame
-    terms: DataFrame
-    docs: DataFrame
+    rows: DataFrame
     n_docs: int
     avg_length: float
-    n_terms: int
+
+    @property
+    def posts(self) -> DataFrame:
+        """term, doc_id, tf, length, norm."""
+        return self.rows.select("doc_id", "length", "norm", F.explode("terms").alias("_t")).select("_t.term", "doc_id", "_t.tf", "length", "norm")
+
+    @property
+    def terms(self) -> DataFrame:
+        return term_stats(self.posts)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.rows.select("doc_id", "length", F.size("terms").alias("unique_terms"))
 
     def release(self) -> None:
-        """Gives the cached tables back."""
-        for table in (self.words, self.posts, self.terms):
-            table.unpersist()
+        """Gives the kept table back."""
+        self.rows.unpersist()
 
 
 def build(docs: DataFrame, text: str = "text", stopwords: list[str] | None = None, exact: bool = False) -> Index:
-    """Builds and caches an index. Only three figures of the collection come to the driver."""
-    words = analysed(docs, text, stopwords, exact).cache()
-    posts = postings(words).cache()
-    terms = term_stats(posts).cache()
-    stats = doc_stats(words).agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
-    return Index(words, posts, terms, doc_stats(words), stats["n"], stats["avg"] or 0.0, terms.count())
+    """Builds an index. Only two figures of the collection come to the driver."""
+    words = analysed(docs, text, stopwords, exact)
+    rows = counted(words).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
+    return Index(words, rows, stats["n"], stats["avg"] or 0.0)
 
 
 def parametric_buckets(docs: DataFrame, field: str, multiple: bool = False) -> DataFrame:

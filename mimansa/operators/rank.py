@@ -21,12 +21,16 @@ def query_terms(queries: DataFrame, stopwords: list[str] | None = None) -> DataF
 
 
 def doc_norms(index: Index) -> DataFrame:
-    return index.posts.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(log_tf(F.col("tf")), F.lit(2)))).alias("norm"))
+    return index.rows.where(F.size("terms") > 0).select("doc_id", "norm")
 
 
 def query_weights(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, term, weight: log tf times idf, normalised. Unknown terms and terms of every document weigh nothing."""
-    known = small(query_terms(queries)).join(index.terms, "term")
+    """query_id, term, weight: log tf times idf, normalised. Unknown terms and terms of every document weigh nothing.
+
+    Documents are counted for the terms of the batch only.
+    """
+    asked = small(query_terms(queries))
+    known = asked.join(index.posts.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "term")
     raw = known.withColumn("raw", log_tf(F.col("qtf")) * F.log10(F.lit(float(index.n_docs)) / F.col("df")))
     norm = F.sqrt(F.sum(F.pow("raw", F.lit(2))).over(Window.partitionBy("query_id")))
     return raw.withColumn("norm", norm).select("query_id", "term", "raw", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("weight"))
@@ -35,12 +39,11 @@ def query_weights(index: Index, queries: DataFrame) -> DataFrame:
 def contributions(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, term, tf, query_weight, doc_weight, product: a cosine taken apart, term by term.
 
-    Norms are summed over the postings of the documents that hold a query term only (a semi-join by document).
+    A document brings its norm with it, so only the terms of the batch are joined and nothing else is shuffled.
     """
     hits = index.posts.join(small(query_weights(index, queries).where(F.col("weight") > 0)), "term")
-    norms = index.posts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(log_tf(F.col("tf")), F.lit(2)))).alias("norm"))
     weight = log_tf(F.col("tf")) / F.col("norm")
-    return hits.join(norms, "doc_id").select("query_id", "doc_id", "term", "tf", F.col("weight").alias("query_weight"), weight.alias("doc_weight"), (F.col("weight") * weight).alias("product"))
+    return hits.select("query_id", "doc_id", "term", "tf", F.col("weight").alias("query_weight"), weight.alias("doc_weight"), (F.col("weight") * weight).alias("product"))
 
 
 def cosine_scores(index: Index, queries: DataFrame, zeros: bool = False) -> DataFrame:
@@ -48,7 +51,7 @@ def cosine_scores(index: Index, queries: DataFrame, zeros: bool = False) -> Data
     scored = contributions(index, queries).groupBy("query_id", "doc_id").agg(F.sum("product").alias("score"))
     if not zeros:
         return scored.where(F.col("score") > 0)
-    every = index.words.select("doc_id").join(small(queries.select("query_id"), 10_000))
+    every = index.rows.select("doc_id").join(small(queries.select("query_id"), 10_000))
     return every.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -69,14 +72,19 @@ def bm25_idf(index: Index, epsilon: float = 0.25) -> DataFrame:
     return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query_id, doc_id, score of documents with a query term; negative and zero scores stay, repeated terms count again.
+def bm25_contributions(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """query_id, doc_id, term, qtf, tf, length, idf, product: a BM25 score taken apart, term by term.
 
     A collection without any token is an error, an empty one gives no rows.
     """
     if index.n_docs and not index.avg_length:
         raise ValueError("no document has a token")
     idf = bm25_idf(index, epsilon).join(small(query_terms(queries)), "term")
-    hits = index.posts.join(small(idf), "term").join(index.docs.select("doc_id", "length"), "doc_id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(index.avg_length or 1.0)))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    hits = index.posts.join(small(idf), "term")
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(index.avg_length or 1.0)))
+    return hits.select("query_id", "doc_id", "term", "qtf", "tf", "length", "idf", (F.col("qtf") * F.col("idf") * share).alias("product"))
+
+
+def bm25_scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """query_id, doc_id, score of documents with a query term; negative and zero scores stay, repeated terms count again."""
+    return bm25_contributions(index, queries, k1, b, epsilon).groupBy("query_id", "doc_id").agg(F.sum("product").alias("score"))

@@ -206,6 +206,12 @@ def bm25_topk(spark, d):
     return top10(rank.bm25_scores(index.build(documents(spark, d)), batch(spark)))
 
 
+@query("bm25_explain", f"with {CORPUS}, {QTERMS}, {BM25} select query_id, doc_id, term, cast(tf as integer) as tf, round(idf, 6) as idf, round(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) as product from qt join idf using (term) join post using (term) join len using (doc_id)")
+def bm25_explain(spark, d):
+    parts = rank.bm25_contributions(index.build(documents(spark, d)), batch(spark))
+    return parts.select("query_id", "doc_id", "term", "tf", F.round("idf", 6).alias("idf"), F.round("product", 6).alias("product"))
+
+
 @query("bm25_topk_rows", f"with {CORPUS}, {row_terms_sql(_DQ)}, {BM25}, r as (select query_id, doc_id, round(score, 6) as score from bm) " + TOP.format("r"))
 def bm25_topk_rows(spark, d):
     return top10(rank.bm25_scores(index.build(documents(spark, d)), document_queries(spark, d)))
