@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 # Query parameters that only track, and the ports that go without saying.
 TRACKING = frozenset(
-    ["_hsenc", "_hsmi", "fb_action_ids", "fb_action_types", "fbclid", "gclid", "mc_eid", "msclkid", "ref", "ref_src", "ref_url", "utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_source", "utm_term"]
-)
+    [
+        "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "msclkid", "ref", "ref_src", "ref_url", "fb_action_ids", "fb_action_types", "mc_eid", "_hsenc", "_hsmi",
+    ]
+)
 PORTS = {"http": ":80", "https": ":443"}
 
 

@@ -7,6 +7,7 @@ Empty documents have no tokens but count in N, which is why N always comes from
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -99,8 +100,8 @@ def lookup(posts: DataFrame, term: str) -> DataFrame:
 class Index:
     """The tables that answer all queries. `rows` has one row a document, with its terms, length and norm.
 
-    Only `rows` is kept between the passes of a search; all else follows from it without a shuffle, but `terms`, which
-    counts the vocabulary and is only asked for where a score needs all of it.
+    `rows` is kept between the passes of a search; all else follows from it without a shuffle, but `terms`, which counts
+    the vocabulary, is only made where a score needs all of it and is then kept too.
     """
 
     words: DataFrame
@@ -113,17 +114,19 @@ class Index:
         """term, doc_id, tf, length, norm."""
         return self.rows.select("doc_id", "length", "norm", F.explode("terms").alias("_t")).select("_t.term", "doc_id", "_t.tf", "length", "norm")
 
-    @property
+    @cached_property
     def terms(self) -> DataFrame:
-        return term_stats(self.posts)
+        return term_stats(self.posts).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def docs(self) -> DataFrame:
         return self.rows.select("doc_id", "length", F.size("terms").alias("unique_terms"))
 
     def release(self) -> None:
-        """Gives the kept table back."""
+        """Gives the kept tables back."""
         self.rows.unpersist()
+        if "terms" in self.__dict__:
+            self.terms.unpersist()
 
 
 def build(docs: DataFrame, text: str = "text", stopwords: list[str] | None = None, exact: bool = False) -> Index:
