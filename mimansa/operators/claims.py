@@ -241,3 +241,28 @@ def answers(queries: DataFrame, hits: DataFrame, generate, threshold: float) ->
     reason = F.when(~F.col("valid") | F.col("_bad"), "invalid_generation").when(F.size("claims") == 0, "empty_generation")
     out = done.select("query_id", reason.alias("refusal_reason"), F.when(reason.isNull(), F.col("claims")).alias("claims"))
     return out.unionByName(gate.where(F.col("reason").isNotNull()).select("query_id", F.col("reason").alias("refusal_reason"), F.lit(None).cast(out.schema["claims"].dataType).alias("claims")))
+
+
+def is_evidence(evidence: Column, text: Column) -> Column:
+    """Whether a verdict's evidence is a retrieved text: one holds the other; blank ones never match."""
+    a, b = F.trim(evidence), F.trim(text)
+    return F.coalesce((a != "") & (b != "") & (F.contains(evidence, b) | F.contains(b, a)), F.lit(False))
+
+
+# What to do with an answer whose citations do not hold, and the reason of one that is held back.
+POLICIES = ("flag", "withhold")
+NOT_VERIFIED = "citation_validation_failed"
+
+
+def apply_policy(answered: DataFrame, checks: DataFrame, policy: str = "flag") -> DataFrame:
+    """`answered(query_id, refused, refusal_reason, ...)` with n_unsupported, the citations that do not hold.
+
+    Under "withhold" an answer with any such citation is refused; under "flag", and any other policy, it stays. Answers
+    refused before have no checks and stay refused.
+    """
+    bad = checks.groupBy("query_id").agg(F.count_if(~F.col("supported")).alias("n_unsupported"))
+    rows = answered.join(bad, "query_id", "left").withColumn("n_unsupported", F.when(F.col("refused"), 0).otherwise(F.coalesce("n_unsupported", F.lit(0))))
+    if policy.strip().lower() != "withhold":
+        return rows
+    held = ~F.col("refused") & (F.col("n_unsupported") > 0)
+    return rows.withColumns({"refusal_reason": F.when(held, NOT_VERIFIED).otherwise(F.col("refusal_reason")), "refused": F.col("refused") | held})

@@ -425,6 +425,20 @@ def exact_match(spark, d):
     return catalog.match_exact(product_records(spark, d), product_queries(spark, d))
 
 
+_BLANK = lambda c: f"nullif({norm_sql(c)}, '')"
+_FORM = "case " + " ".join(f"when {norm_sql('form')} = '{a}' then '{b}'" for a, b in catalog.FORMS.items()) + f" else {_BLANK('form')} end"
+
+
+@query("brand_counts", f"select {_BLANK('brand')} as brand, count(*) as n_rows from medicine_records group by 1")
+def brand_counts(spark, d):
+    return catalog.brand_counts(catalog.attributes(product_records(spark, d)))
+
+
+@query("identity_counts", f"select {_BLANK('salt')} as salt, round(strength_value, 6) as strength_value, {_BLANK('strength_unit')} as strength_unit, {_FORM} as form, count(*) as n_rows from medicine_records group by all")
+def identity_counts(spark, d):
+    return catalog.identity_counts(catalog.attributes(product_records(spark, d)))
+
+
 @query("soundex_match")
 def soundex_match(spark, d):
     return catalog.match_phonetic(product_records(spark, d), product_queries(spark, d))

@@ -196,3 +196,15 @@ def test_files(spark, tmp_path):
     assert tuple(sinks.formatted(df).first()) == ("", "true", "0.500000")
     sinks.write_metrics(df, str(tmp_path / "m"))
     assert sinks.union_rows([df, df.drop("a").withColumn("d", F.lit(1))]).columns == ["a", "b", "c", "d"]
+
+
+def test_conflicts_evidence_and_policy(spark):
+    rows_ = [(1, 5.0, "mg", "tablet", None, 5.0, "mg", "tablet", "sr"), (2, 5.0, "mg", None, "sr", None, None, "tablet", "sr"), (3, 5.0, "mg", "tablet", "sr", 5.0, "mg", "gel", "sr"), (4, 5.0, None, None, None, 6.0, None, None, None)]
+    df = spark.createDataFrame(rows_, "id int, strength_value double, strength_unit string, form string, release string, q_strength_value double, q_strength_unit string, q_form string, q_release string")
+    assert rows(df.where(catalog.recorded_conflict()), "id") == [(3,), (4,)]
+    pairs = spark.createDataFrame([(1, " the card is free ", "card is free"), (2, "free", "the card is free"), (3, " ", "x"), (4, "x", None), (5, "paid", "free")], "id int, evidence string, text string")
+    assert rows(pairs.where(claims.is_evidence(F.col("evidence"), F.col("text"))), "id") == [(1,), (2,)]
+    answered = spark.createDataFrame([("a", False, None), ("b", False, None), ("c", True, "no_hits")], "query_id string, refused boolean, refusal_reason string")
+    checks = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "query_id string, supported boolean")
+    assert rows(claims.apply_policy(answered, checks, " Withhold "), "query_id", "refused", "refusal_reason", "n_unsupported") == [("a", True, "citation_validation_failed", 1), ("b", False, None, 0), ("c", True, "no_hits", 0)]
+    assert rows(claims.apply_policy(answered, checks, "flag"), "query_id", "refused", "n_unsupported") == [("a", False, 1), ("b", False, 0), ("c", True, 0)]
