@@ -1,31 +1,39 @@
 """Which words are names of persons: a linear model over letter n-grams, fitted to the corpus at hand.
 
-Titles and name labels ("Dr.", "my name is", "Patient name:") tell names for certain. The words behind them in a bounded
-sample of documents, with a short list of common names, teach a softmax over the classes given name, family name and
-other; words in lower case, and capitalised ones that stand alone or before the word of a place or firm, teach "other".
-Every word of the corpus is then scored by its letters, and a candidate of two or three words by the sum of its parts.
-A title or label lets names through that the model does not know, and what one document so reveals holds in all of it.
+Titles and name labels ("Dr.", "my name is", "Patient name:") tell names for certain. The words behind them in all
+documents, with a short list of common names, teach a softmax over the classes given name, family name and other; words
+in lower case, and capitalised ones that stand alone or before the word of a place or firm, teach "other". Every word of
+the corpus is then scored by its letters, and a candidate of two or three words by the sum of its parts. A title or label
+lets names through that the model does not know, and what one document so reveals holds in all of it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of the training sample (about this many, by hash of the text), words taken of each class.
-SAMPLE_DOCS, SAMPLE_WORDS = 6_000, 12_000
-#: A word that the sample has this often outside names is none in small letters.
-COMMON = 20
-#: Longest text in the sample, longest word scored.
-TEXT_CHARS, WORD_CHARS = 20_000, 24
-BUCKETS, EPOCHS, ORDERS = 1 << 16, 6, (1, 2, 3, 4)
+from mimansa.plans.support import checkpointed
+
+#: A word that this many texts, and this share of them, have outside names is none in small letters.
+COMMON, COMMON_SHARE = 20, 1 / 300
+#: Letters of a word that are looked at.
+WORD_CHARS = 24
+#: All words of a class together weigh as so many at most.
+CLASS_WORDS = 12_000
+#: Words that one task fits, states that one task or the driver adds up, words that a task counts before it hands them on.
+PART_WORDS, STATES, HELD_WORDS = 200_000, 32, 200_000
+#: Passes over the words: of a fit in one part, and of one in parts, whose states are averaged after each.
+EPOCHS, ROUNDS = 6, 3
+BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
 #: Least sum of log odds of a capitalised pair, of an initial with a family name, of a pair in small letters, of a pair
 #: behind a title or label; and the least of each word.
 PAIR, INITIAL, SMALL, TITLED, LEAST = 1.0, -1.5, 2.5, -8.0, -2.5
@@ -34,6 +42,7 @@ PAIR, INITIAL, SMALL, TITLED, LEAST = 1.0, -1.5, 2.5, -8.0, -2.5
 WOMEN = "aarti anita anjali asha deepa divya fatima geeta kavita lakshmi leela mary meena nisha pooja priya radha rekha rani sarah savita shanti sita sunita sushma swati usha elizabeth jennifer linda".split()
 MEN = "abdul ajay amit anil arjun ashok david deepak ganesh hari imran james john krishna mahesh manoj michael mohan mohammed rahul raj rajesh ram ramesh ravi robert sanjay suresh surya thomas vijay vikram vinod".split()
 FAMILY = "agarwal ahmed banerjee bhat bose chatterjee chauhan choudhary das desai deshmukh dutta gandhi ghosh gill goswami gupta iyer iyengar jain joshi kapoor kaur khan kulkarni kumar malhotra mehta menon mishra mukherjee naidu nair nayak pandey patel patil pillai rao rathore reddy roy saxena sen shah sharma singh sinha subramanian thakur tiwari trivedi varma verma yadav smith johnson williams brown jones miller davis wilson taylor".split()
+SEEDS = {**{w: 1 for w in [*WOMEN, *MEN]}, **{w: 2 for w in FAMILY}}
 # Titles, and labels before a name.
 TITLES = "dr mr mrs ms miss smt shri sri shriman kumari prof professor sister".split()
 LABELS = r"name is|name of (?:the )?(?:patient|applicant|member|father|mother|husband|wife)|naam|नाम|নাম|பெயர்|(?:\b[Nn]ame|NAME|[Ss]igned|[Pp]atient|[Aa]pplicant|[Ww]itness)\s*[:,–-]"
@@ -59,7 +68,10 @@ _LABEL = rf"(?:{LABELS}){_SP}*(?::{_SP}*)?"
 _SHAPES = rf"(?P<g1>{_W})(?:{_SP}+[A-Z]\.)?{_SP}+(?P<f1>{_W})|(?P<f2>{_W}),{_SP}*(?P<g2>{_W})|[A-Z]\.{_SP}?(?P<f3>{_W})"
 _LABELLED = re.compile(_LABEL)
 TITLED_NAME = re.compile(rf"(?:{_TITLE}|{_LABEL})(?:{_SHAPES})(?!\w)(?P<next>{_SP}+\w+)?")
-_ALONE = re.compile(rf"(?<=[a-z,]{_SP})([A-Z][a-z]+)(?={_SP}[a-z])|(?<![\w.])([A-Z][a-z]+)(?={_SP}(?:{'|'.join(w.capitalize() for w in sorted(NOT_PERSON))})\b)")
+_ANCHORS = [*(t.capitalize() for t in TITLES), "name", "Name", "NAME", "naam", "नाम", "নাম", "பெயர்", "signed", "Signed", "patient", "Patient", "applicant", "Applicant", "witness", "Witness"]
+_CAPITAL = re.compile(rf"[A-Z][a-z]++(?={_SP}(?:[a-z]|(?:{'|'.join(w.capitalize() for w in sorted(NOT_PERSON))})\b))")
+#: Runs of letters, "@" and full stops, all else as spaces.
+_RUNS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c in b"@." else 32 for c in range(256))
 OTHER_NAME = re.compile(rf"(?<!\S)(?:{OTHER_TITLES}){_SP}+([^\W\d_][^\s,.;:!?()।|]*)(?:{_SP}+([^\W\d_][^\s,.;:!?()।|]*))?(?:{_SP}+([^\s,.;:!?()।|]+))?")
 
 
@@ -69,13 +81,13 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
     which = np.cumsum(codes == ord("^")) - 1
     grams, owners = [], []
+    rolled = np.zeros(len(codes) + 1, dtype=np.uint64)
     for n in ORDERS:
-        rolled = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
-        for k in range(n):
-            rolled = rolled * np.uint64(131) + codes[k : len(codes) - n + 1 + k]
+        # the hash of n letters from that of n - 1
+        rolled = rolled[:-1] * np.uint64(131) + codes[n - 1 :]
         inside = which[: len(rolled)] == which[n - 1 :]
         mixed = (rolled + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        grams.append((mixed >> np.uint64(48))[inside].astype(np.int64) % BUCKETS)
+        grams.append((mixed[inside] >> np.uint64(48)).astype(np.int64))
         owners.append(which[: len(rolled)][inside])
     whole = np.array([crc32(w[:WORD_CHARS].encode()) % BUCKETS for w in words], dtype=np.int64)
     return np.concatenate([*grams, whole]), np.concatenate([*owners, np.arange(len(words))])
@@ -83,56 +95,77 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class NameModel:
+    """Log odds of each bucket, and at the end alone, against "other": of a given and of a family name."""
+
     weights: np.ndarray
-    bias: np.ndarray
     seeds: dict[str, int]
     common: frozenset[str] = frozenset()
 
     def odds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log odds against "other" of every lower-case word as a given and as a family name."""
-        if not words:
-            return np.zeros(0), np.zeros(0)
-        grams, owners = features(words)
-        z = np.stack([np.bincount(owners, weights=self.weights[grams, k], minlength=len(words)) for k in range(3)], axis=1) / np.sqrt(np.bincount(owners, minlength=len(words)))[:, None] + self.bias
+        out = np.zeros((2, len(words)))
+        for at in range(0, len(words), 1024):
+            mine = words[at : at + 1024]
+            grams, owners = features(mine)
+            scale = np.sqrt(np.bincount(owners, minlength=len(mine)))
+            for k in range(2):
+                out[k, at : at + len(mine)] = np.bincount(owners, weights=self.weights[k][grams], minlength=len(mine)) / scale + self.weights[k, BUCKETS]
         for i, w in enumerate(words):
             if w in self.seeds:
-                z[i, self.seeds[w]] = max(z[i, self.seeds[w]], z[i, 0] + 5.0)
-        return z[:, 1] - z[:, 0], z[:, 2] - z[:, 0]
+                out[self.seeds[w] - 1, i] = max(out[self.seeds[w] - 1, i], 5.0)
+        return out[0], out[1]
+
+
+def costs(per_class: list[int]) -> np.ndarray:
+    """What a word of each class weighs in the fit: rare classes more, and no class more than CLASS_WORDS words in all."""
+    n = np.maximum(per_class, 1)
+    held = np.minimum(n, CLASS_WORDS)
+    return np.minimum(np.sqrt(held.max() / held), 8) * held / n
+
+
+def learn(words: list[str], labels: np.ndarray, cost: np.ndarray, epochs: int, state: np.ndarray | None = None, seed: int = 3) -> np.ndarray:
+    """Passes of AdaGrad over some words. A state has a row of weights for each class, its last column their biases, and one of squared steps."""
+    if state is None:
+        state = np.zeros((4, BUCKETS + 1))
+        state[3] = 1e-2
+    else:
+        state = state.astype(np.float64)
+    weights, bias, seen = state[:3, :BUCKETS], state[:3, BUCKETS], state[3, :BUCKETS]
+    rng = np.random.default_rng(seed)
+    batch = max(64, len(words) // 100)
+    for _ in range(epochs):
+        shuffled = rng.permutation(len(words))
+        for at in range(0, len(shuffled), batch):
+            mine = shuffled[at : at + batch]
+            grams, owners = features([words[i] for i in mine])
+            scale = 1 / np.sqrt(np.bincount(owners, minlength=len(mine)))
+            z = np.stack([np.bincount(owners, weights=w[grams], minlength=len(mine)) * scale for w in weights], axis=1) + bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(mine)), labels[mine]] -= 1
+            p *= cost[mine][:, None]
+            # the buckets of a small batch, or all of them
+            some, where = np.unique(grams, return_inverse=True) if len(grams) < BUCKETS // 4 else (np.arange(BUCKETS), grams)
+            back = p * scale[:, None]
+            step = np.stack([np.bincount(where, weights=back[:, k][owners], minlength=len(some)) for k in range(3)])
+            seen[some] += (step**2).sum(axis=0)
+            weights[:, some] -= 0.5 * step / np.sqrt(seen[some])
+            bias -= 0.02 * p.sum(axis=0) / cost[mine].sum()
+    return state.astype(np.float32)
+
+
+def model_of(state: np.ndarray, common: Iterable[str] = ()) -> NameModel:
+    return NameModel(state[1:3] - state[0], SEEDS, frozenset(common))
 
 
 def fit(words: dict[str, int], common: Iterable[str] = (), seed: int = 3) -> NameModel:
-    """A model from words in small letters with their class, and the common names."""
-    known = {**{w: 0 for w in CALENDAR}, **words, **{w: 1 for w in [*WOMEN, *MEN]}, **{w: 2 for w in FAMILY}}
-    seeds = {**{w: 1 for w in [*WOMEN, *MEN]}, **{w: 2 for w in FAMILY}}
+    """A model from a few words in small letters with their class, and the common names."""
+    known = {**{w: 0 for w in CALENDAR}, **words, **SEEDS}
     if not words:
         known |= {w: 0 for w in ("about", "after", "before", "between", "clinic", "doctor", "family", "given", "health", "hospital", "medicine", "number", "patient", "people", "please", "scheme", "should", "treatment", "village", "water", "which", "without", "yesterday")}
-    rng = np.random.default_rng(seed)
     names = sorted(known)
     labels = np.array([known[w] for w in names])
-    grams, owners = features(names)
-    order = np.argsort(owners, kind="stable")
-    counts = np.bincount(owners, minlength=len(names))
-    parts = np.split(grams[order], np.cumsum(counts)[:-1])
-    per_class = np.maximum(np.bincount(labels, minlength=3), 1)
-    cost = np.sqrt(per_class.max() / per_class)[labels]
-    weights, bias, seen = np.zeros((BUCKETS, 3)), np.zeros(3), np.full((BUCKETS, 1), 1e-2)
-    for epoch in range(EPOCHS):
-        shuffled = rng.permutation(len(names))
-        for at in range(0, len(shuffled), 64):
-            mine = shuffled[at : at + 64]
-            sizes = counts[mine]
-            used = np.concatenate([parts[i] for i in mine])
-            scale = 1 / np.sqrt(sizes)
-            z = np.add.reduceat(weights[used], np.cumsum(sizes) - sizes) * scale[:, None] + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(mine)), labels[mine]] -= 1
-            p *= np.minimum(cost[mine], 8)[:, None]
-            back = np.repeat(p * scale[:, None], sizes, axis=0)
-            np.add.at(seen, used, (back**2).sum(axis=1, keepdims=True))
-            np.add.at(weights, used, -0.5 * back / np.sqrt(seen[used]))
-            bias -= 0.02 * p.mean(axis=0)
-    return NameModel(weights.astype(np.float32), bias, seeds, frozenset(common))
+    return model_of(learn(names, labels, costs(np.bincount(labels, minlength=3))[labels], EPOCHS, seed=seed), common)
 
 
 _SEEDED: list[NameModel] = []
@@ -145,48 +178,141 @@ def seeded() -> NameModel:
     return _SEEDED[0]
 
 
-def evidence(text: str) -> Iterator[tuple[str, int]]:
-    """(word, class) of what a text says for certain."""
-    named = set()
-    for m in TITLED_NAME.finditer(text):
-        if (m["next"] or "").strip().lower() in NOT_PERSON:
-            continue
-        for k, group in ((1, "g1"), (1, "g2"), (2, "f1"), (2, "f2"), (2, "f3")):
-            if m[group] and len(m[group]) > 2:
-                named.add(m[group].lower())
-                yield m[group].lower(), k
-    for m in _ALONE.finditer(text):
-        word = (m[1] or m[2]).lower()
-        if word not in named:
-            yield word, 0
-    for word in set(re.findall(r"(?<![A-Za-z@.])[a-z]{3,24}(?![A-Za-z@.])", text)) - named:
-        yield word, 0
+def _titled(text: str) -> Iterator[re.Match]:
+    """Matches of TITLED_NAME, tried only where a title or label word stands."""
+    at = set()
+    for x in _ANCHORS:
+        k = text.find(x)
+        while k >= 0:
+            at.add(k)
+            k = text.find(x, k + 1)
+    end = 0
+    for k in sorted(at):
+        if k >= end and (m := TITLED_NAME.match(text, k)):
+            end = m.end()
+            yield m
+
+
+def evidence(texts: Iterable[str], counts: dict[str, list[int]]) -> None:
+    """Adds what some texts say for certain: how often a word is other, a given and a family name; in small letters once a text."""
+    small: Counter[bytes] = Counter()
+
+    def add(word: str, kind: int) -> None:
+        counts.setdefault(word[:WORD_CHARS], [0, 0, 0])[kind] += 1
+
+    for text in texts:
+        named = set()
+        for m in _titled(text):
+            if (m["next"] or "").strip().lower() in NOT_PERSON:
+                continue
+            for k, group in ((1, "g1"), (1, "g2"), (2, "f1"), (2, "f2"), (2, "f3")):
+                if m[group] and len(m[group]) > 2:
+                    named.add(m[group].lower())
+                    add(m[group].lower(), k)
+        for m in _CAPITAL.finditer(text):
+            a, b = m.span()
+            # alone among words in small letters, or before the word of a place or firm
+            if text[b + 1].islower():
+                alone = a > 1 and text[a - 1].isspace() and text[a - 1] != "\n" and (text[a - 2] == "," or "a" <= text[a - 2] <= "z")
+            else:
+                alone = not a or not (text[a - 1].isalnum() or text[a - 1] in "_.")
+            if alone and (word := m[0].lower()) not in named:
+                add(word, 0)
+        words = set(text.encode("utf-8", "replace").translate(_RUNS).split())
+        small.update(words - {w.encode() for w in named} if named else words)
+    for run, n in small.items():
+        if len(run) > 2 and run.isalpha() and run.islower():
+            counts.setdefault(run[:WORD_CHARS].decode(), [0, 0, 0])[0] += n
+
+
+_COUNTS = "word string, n0 long, n1 long, n2 long"
+
+
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n0, n1, n2: how often all texts show a word as other, given and family name.
+
+    The empty word has the number of texts; words of the calendar count as other once more, and listed names are there.
+    """
 
+    def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, list[int]] = {}
 
-def trained(docs: DataFrame, text: str = "text") -> NameModel:
-    """A model fitted to about SAMPLE_DOCS documents of any corpus, at most SAMPLE_WORDS words of each class.
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(w, *n) for w, n in counts.items()], columns=["word", "n0", "n1", "n2"])
 
-    A word is a name if titles and labels show it at least a third as often as it stands among others. Only words and
-    counts come to the driver.
-    """
-    n = docs.count()
-    every = max(1, n // SAMPLE_DOCS)
-    some = docs.where((F.length(text) > 0) & (F.length(text) <= TEXT_CHARS) & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(F.col(text).alias("text"))
-
-    def words(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(w[:WORD_CHARS], k) for t in frame["text"] for w, k in evidence(t)], columns=["word", "kind"])
+            counts.setdefault("", [0, 0, 0])[0] += len(frame)
+            evidence(frame["text"], counts)
+            if len(counts) > HELD_WORDS:
+                yield rows()
+                counts.clear()
+        yield rows()
+
+    known = docs.sparkSession.createDataFrame([(w, 1, 0, 0) for w in CALENDAR] + [(w, 0, 0, 0) for w in SEEDS], _COUNTS).coalesce(1)
+    parts = docs.where(F.length(text) > 0).select(F.col(text).alias("text")).mapInPandas(count, _COUNTS)
+    return parts.unionByName(known).groupBy("word").agg(*[F.sum(n).alias(n) for n in ("n0", "n1", "n2")])
+
 
-    counted = some.mapInPandas(words, "word string, kind int").groupBy("word", "kind").agg(F.count("*").alias("n"))
-    times = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in range(3)]
-    best = counted.groupBy("word").agg(*[t.alias(f"n{k}") for k, t in enumerate(times)]).select(
-        "word", F.when(3 * (F.col("n1") + F.col("n2")) < F.col("n0"), 0).when(F.col("n1") >= F.col("n2"), 1).otherwise(2).alias("kind"), F.greatest("n0", "n1", "n2").alias("n")
-    )
-    order = Window.partitionBy("kind").orderBy(F.desc("n"), F.xxhash64("word"), "word")
-    rows = best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE_WORDS).select("word", "kind", "n").collect()
-    taken = {r["word"]: r["kind"] for r in rows}
-    common = [r["word"] for r in rows if r["kind"] == 0 and r["n"] >= COMMON]
-    return fit(taken, common)
+def trained(docs: DataFrame, text: str = "text") -> NameModel:
+    """A model fitted to the evidence of all documents and all words of any corpus.
+
+    A word is a name if titles and labels show it at least a third as often as it stands among others. Other words weigh
+    by the root of their texts. Words are fitted in parts, each by a task, whose states are averaged; only states, totals and common words come to
+    the driver, and of those there are no more than texts have words, times 1 / COMMON_SHARE.
+    """
+    spark = docs.sparkSession
+    kind = F.when(F.col("word").isin([w for w, k in SEEDS.items() if k == 1]), 1).when(F.col("word").isin([w for w, k in SEEDS.items() if k == 2]), 2)
+    kind = kind.when(3 * (F.col("n1") + F.col("n2")) < F.col("n0"), 0).when(F.col("n1") >= F.col("n2"), 1).otherwise(2)
+    words = checkpointed(counted(docs, text).withColumn("kind", F.when(F.col("word") == "", -1).otherwise(kind)))
+    totals = {r["kind"]: r for r in words.groupBy("kind").agg(F.count("*").alias("words"), F.sum(F.col("n0") + F.col("n1") + F.col("n2")).alias("n"), F.sum(F.sqrt("n0")).alias("roots")).collect()}
+    if sum(r["n"] for k, r in totals.items() if k >= 0) == len(CALENDAR):
+        return seeded()
+    cost = costs([totals[k]["words"] if k in totals else 0 for k in range(3)])
+    root = totals[0]["roots"] / totals[0]["words"]
+    least = max(COMMON, COMMON_SHARE * totals[-1]["n"])
+    common = [r["word"] for r in words.where((F.col("kind") == 0) & (F.col("n0") >= least)).select("word").collect()]
+
+    n = -(-sum(r["words"] for k, r in totals.items() if k >= 0) // PART_WORDS)
+    # names stay rare where other words grow, so a word stands in as many parts as give each part CLASS_WORDS words of its class, or all
+    copies = [min(n, -(-n * CLASS_WORDS // max(1, totals[k]["words"]))) if k in totals else 1 for k in range(3)]
+    cost = cost / copies
+    each = words.where("kind >= 0").select("word", "kind", "n0", F.explode(F.sequence(F.lit(1), F.get(F.array(*map(F.lit, copies)), F.col("kind")))).alias("copy"))
+    parts = each.withColumn("part", F.pmod(F.pmod(F.xxhash64("word"), F.lit(n)) + F.col("copy"), F.lit(n)).cast("int")).repartition(n, "part")
+    state = None
+    for round_ in range(1 if n == 1 else ROUNDS):
+        learned = _learner(spark.sparkContext.broadcast(state), cost, root, EPOCHS if n == 1 else 1, 3 + round_)
+        state = _averaged(parts.groupBy("part").applyInPandas(learned, _STATE), n)
+    return model_of(state, common)
+
+
+_STATE = "part int, times long, state binary"
+
+
+def _learner(before: Broadcast, cost: np.ndarray, root: float, epochs: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def learned(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("word")
+        labels = frame["kind"].to_numpy()
+        weighs = cost[labels] * np.where(labels == 0, np.sqrt(frame["n0"].to_numpy()) / root, 1.0)
+        state = learn(frame["word"].tolist(), labels, weighs, epochs, before.value, seed)
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "times": [1], "state": [state.tobytes()]})
+
+    return learned
+
+
+def _averaged(states: DataFrame, n: int) -> np.ndarray:
+    """The mean of the states of up to n parts, added up in groups until there are few."""
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        total = sum(np.frombuffer(s, dtype=np.float32).astype(np.float64) for s in frame["state"])
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "times": [frame["times"].sum()], "state": [total.astype(np.float32).tobytes()]})
+
+    while n > STATES:
+        n = -(-n // STATES)
+        states = states.groupBy(F.pmod("part", F.lit(n))).applyInPandas(added, _STATE).withColumn("part", F.pmod("part", F.lit(n)).cast("int"))
+    rows = sorted(states.collect(), key=lambda r: r["part"])
+    total = sum(np.frombuffer(r["state"], dtype=np.float32).astype(np.float64) for r in rows) / sum(r["times"] for r in rows)
+    return total.reshape(4, BUCKETS + 1).astype(np.float32)
 
 
 class Scores:
@@ -194,7 +320,7 @@ class Scores:
 
     def __init__(self, model: NameModel, texts: Iterable[str]):
         words = {w for t in texts for w in _WORD.findall(t)}
-        low = sorted({w.lower() for w in words if 2 < len(w) <= WORD_CHARS})
+        low = sorted({w.lower() for w in words if len(w) > 2})
         given, family = model.odds(low)
         self.given, self.family = dict(zip(low, given.tolist())), dict(zip(low, family.tolist()))
         #: Words that can be the family name of a mention; in small letters they need more.

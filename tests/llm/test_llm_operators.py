@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,3 +465,38 @@ def test_ids_in_lower_case(spark):
     assert out.placeholders == "Passport <ID> was shown, card <ID>, file <ID>, card number <ID>. In about 2024 a clinic opened; sum 1234567, ref1234567, batch lower1234x."
     m = re.match(r"Passport [a-z]{5}\d{4}[a-z] was shown, card [A-Z][a-z]{4}-\d{4}-[a-z], file [a-z]{3}/\d{7}, card number [a-z]{5} \d{4} [a-z]\. In", out.surrogates)
     assert m and "mdsxw1845j" not in out.surrogates
+
+
+def test_names_come_from_all_documents(spark):
+    # more documents than the sample of old had, in which the second half by hash was left out; and a long text
+    filler = [f"the water of ward {i} is clean and the old clinic has a new roof" for i in range(12_200)]
+    titled = [f"on that day Dr. Brizok Wumpash saw {i} people in the village" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in filler + titled], "text string").where("text not like 'on that%' or pmod(xxhash64(text), 2) = 1")
+    long = spark.createDataFrame([("the roof is new " * 1_500 + "then Mrs. Qelvo Tarnip came",)], "text string")
+    all_ = docs.unionByName(long)
+    counts = {r["word"]: (r["n0"], r["n1"], r["n2"]) for r in names.counted(all_).collect()}
+    n = docs.where("text like 'on that%'").count()
+    assert 10 < n == counts["brizok"][1] == counts["wumpash"][2] and counts["qelvo"] == (0, 1, 0) and counts["tarnip"] == (0, 0, 1)
+    assert counts["water"] == (12_200, 0, 0) and counts["roof"][0] == 12_201 and counts[""][0] == 12_201 + n
+    model = names.trained(all_)
+    given, family = model.odds(["brizok", "wumpash", "qelvo", "tarnip", "water"])
+    assert min(given[0], family[1], given[2], family[3]) > 0 > max(given[4], family[4])
+    assert {"water", "roof"} <= model.common
+
+
+def test_names_are_fitted_to_every_word_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(14_000)]
+    texts = [" ".join(made[i : i + 20]) for i in range(0, len(made), 20)] + [f"then Dr. Brizok{x} Wumpash{x} came" for x in ("a", "e", "i", "o", "u")] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    one = names.trained(docs)
+    monkeypatch.setattr(names, "PART_WORDS", 400)
+    monkeypatch.setattr(names, "CLASS_WORDS", 100)
+    assert 14_000 // 400 > names.STATES
+    many = names.trained(docs)
+    again = names.trained(docs.repartition(3))
+    assert (many.weights == again.weights).all()
+    rare = sorted(set(made))
+    for model in (one, many):
+        given, family = model.odds([*rare, "brizoke", "wumpashi"])
+        assert (np.maximum(given, family)[:-2] < 0).mean() > 0.99 and given[-2] > 0 and family[-1] > 0
