@@ -68,8 +68,11 @@ _LABEL = rf"(?:{LABELS}){_SP}*(?::{_SP}*)?"
 _SHAPES = rf"(?P<g1>{_W})(?:{_SP}+[A-Z]\.)?{_SP}+(?P<f1>{_W})|(?P<f2>{_W}),{_SP}*(?P<g2>{_W})|[A-Z]\.{_SP}?(?P<f3>{_W})"
 _LABELLED = re.compile(_LABEL)
 TITLED_NAME = re.compile(rf"(?:{_TITLE}|{_LABEL})(?:{_SHAPES})(?!\w)(?P<next>{_SP}+\w+)?")
-_ANCHORS = [*(t.capitalize() for t in TITLES), "name", "Name", "NAME", "naam", "नाम", "নাম", "பெயர்", "signed", "Signed", "patient", "Patient", "applicant", "Applicant", "witness", "Witness"]
+_LABEL_WORDS = ["name", "Name", "NAME", "naam", "नाम", "নাম", "பெயர்", "signed", "Signed", "patient", "Patient", "applicant", "Applicant", "witness", "Witness"]
+_ANCHORS = [*(t.capitalize() for t in TITLES), *_LABEL_WORDS]
 _CAPITAL = re.compile(rf"[A-Z][a-z]++(?={_SP}(?:[a-z]|(?:{'|'.join(w.capitalize() for w in sorted(NOT_PERSON))})\b))")
+#: Letters, all else as spaces.
+_LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() else 32 for c in range(256))
 #: Runs of letters, "@" and full stops, all else as spaces.
 _RUNS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c in b"@." else 32 for c in range(256))
 OTHER_NAME = re.compile(rf"(?<!\S)(?:{OTHER_TITLES}){_SP}+([^\W\d_][^\s,.;:!?()।|]*)(?:{_SP}+([^\W\d_][^\s,.;:!?()।|]*))?(?:{_SP}+([^\s,.;:!?()।|]+))?")
@@ -315,11 +318,15 @@ def _averaged(states: DataFrame, n: int) -> np.ndarray:
     return total.reshape(4, BUCKETS + 1).astype(np.float32)
 
 
+def _words(text: str) -> set[bytes]:
+    return set(text.encode("utf-8", "replace").translate(_LETTERS).split())
+
+
 class Scores:
     """The odds of the words of a batch of texts."""
 
     def __init__(self, model: NameModel, texts: Iterable[str]):
-        words = {w for t in texts for w in _WORD.findall(t)}
+        words = {w.decode() for w in set().union(*(_words(t) for t in texts))}
         low = sorted({w.lower() for w in words if len(w) > 2})
         given, family = model.odds(low)
         self.given, self.family = dict(zip(low, given.tolist())), dict(zip(low, family.tolist()))
@@ -327,15 +334,20 @@ class Scores:
         hot = {w for w, z in self.family.items() if z >= LEAST}
         self.hot = {w for w in words if w.lower() in hot and (w[0].isupper() or w not in model.common and self.family.get(w, -9.0) >= -1.5)}
         self.common = model.common
+        #: Words of which every pair that passes has one, in small letters or not.
+        self.strong = {w.encode() for w in words if len(w) > 2 and max(self.given[w.lower()], self.family[w.lower()]) >= PAIR / 2 and w.lower() not in NOT_PERSON and not (w.islower() and w in model.common)}
 
     def of(self, word: str, given: int) -> float:
         return (self.given if given else self.family).get(word.lower(), -9.0)
 
 
-_TOLD = {x for t in [*TITLES, *CONTACTS, "name", "naam", "signed", "patient", "applicant", "witness"] for x in (t, t.capitalize(), t.upper())}
 _JOINED = re.compile(r"[^\S\n]+(?:and|or|aur|ya|&)[^\S\n]+(?=[A-Z])")
 _TITLE_SET = {x for t in TITLES for x in (t.capitalize(), t.upper())}
 _CONTACT_SET = {x for c in CONTACTS for x in (c, c.capitalize())}
+_LEADS = {x.encode() for x in _TITLE_SET | _CONTACT_SET}
+#: What is right behind a title or verb that begins a name, and an initial with the word behind it.
+_LED = re.compile(r"[ \t]*\.?[ \t]*(?:for[^A-Za-z]+)?[A-Z]")
+_INITIAL = re.compile(r"[A-Z]\.[ \t]*([A-Za-z]+)")
 
 
 def _case(word: str) -> int:
@@ -345,17 +357,24 @@ def _case(word: str) -> int:
 def mentions(text: str, scores: Scores) -> list[tuple[int, int]]:
     """Spans of the names of persons in a text, without overlaps."""
     out = _other_scripts(text) if not text.isascii() else []
-    # only the surroundings of possible family names, titles and labels are looked at
-    words = set(_WORD.findall(text))
-    told = (words & _TOLD) | {x for x in ("नाम", "নাম", "பெயர்") if x in text}
-    marks = (words & scores.hot) | told
-    if not marks:
+    # only the surroundings of likely names, of initials, and of titles and labels before a capital are looked at
+    words = _words(text)
+    at, labels = _spots(text, words & scores.strong), set()
+    for a, b in _spots(text, words & _LEADS):
+        if _LED.match(text, b):
+            at.append((a, b))
+    for a, b in _labels(text):
+        at.append((a, b))
+        labels.add(b)
+    for m in _INITIAL.finditer(text):
+        if m[1] in scores.hot:
+            at.append(m.span())
+    if not at:
         return out
-    windows = _windows(text, marks)
-    tokens = [(m.start(), m.end(), m[0]) for a, b in windows for m in _WORD.finditer(text, a, b)]
+    tokens = [(m.start(), m.end(), m[0]) for a, b in _windows(text, at) for m in _WORD.finditer(text, a, b)]
     known: dict[str, float] = {}
     found: dict[int, tuple[float, int]] = {}
-    sure = _sure_places(text, tokens, windows, not told <= _TITLE_SET | _CONTACT_SET) if told else {}
+    sure = _sure_places(text, tokens, labels)
     starts = {t[0]: i for i, t in enumerate(tokens)}
     hot = {i for i, t in enumerate(tokens) if t[2] in scores.hot}
     for _ in range(2):
@@ -374,10 +393,10 @@ def mentions(text: str, scores: Scores) -> list[tuple[int, int]]:
         if (len(known), len(sure)) == before:
             break
         # what titles told holds in the rest of the text too
-        more = {w for w in words - marks if w.lower() in known}
+        more = {w for w in words if w.lower().decode() in known} - scores.strong if known else None
         if more:
-            marks |= more
-            tokens = [(m.start(), m.end(), m[0]) for a, b in _windows(text, marks) for m in _WORD.finditer(text, a, b)]
+            at += _spots(text, more)
+            tokens = [(m.start(), m.end(), m[0]) for a, b in _windows(text, at) for m in _WORD.finditer(text, a, b)]
             moved = {t[0]: i for i, t in enumerate(tokens)}
             sure = {moved[a]: True for a, i in starts.items() if i in sure}
             starts = moved
@@ -388,14 +407,35 @@ def mentions(text: str, scores: Scores) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _windows(text: str, marks: set[str], reach: int = 40) -> list[tuple[int, int]]:
-    """The surroundings of some words, widened to white space and merged."""
+def _spots(text: str, words: set[bytes]) -> list[tuple[int, int]]:
+    """Where some words stand, also inside others."""
     at = []
-    for w in marks:
+    for w in words:
+        w = w.decode()
         k = text.find(w)
         while k >= 0:
             at.append((k, k + len(w)))
             k = text.find(w, k + len(w))
+    return at
+
+
+def _labels(text: str) -> Iterator[tuple[int, int]]:
+    """Where labels stand."""
+    at = set()
+    for x in _LABEL_WORDS:
+        k = text.find(x)
+        while k >= 0:
+            at.add(k)
+            k = text.find(x, k + 1)
+    end = 0
+    for k in sorted(at):
+        if k >= end and (m := _LABELLED.match(text, k)):
+            end = m.end()
+            yield m.span()
+
+
+def _windows(text: str, at: list[tuple[int, int]], reach: int = 60) -> list[tuple[int, int]]:
+    """The surroundings of some places, widened to white space and merged."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(at):
         a, b = max(0, a - reach), min(len(text), b + reach)
@@ -410,22 +450,18 @@ def _windows(text: str, marks: set[str], reach: int = 40) -> list[tuple[int, int
     return out
 
 
-def _sure_places(text: str, tokens: list[tuple[int, int, str]], windows: list[tuple[int, int]], labels: bool) -> dict[int, bool]:
+def _sure_places(text: str, tokens: list[tuple[int, int, str]], labels: set[int]) -> dict[int, bool]:
     """Indexes of tokens that begin a name by a title, label or verb right before them."""
     sure: dict[int, bool] = {}
-    starts = {t[0]: i for i, t in enumerate(tokens)}
-    for i, (_, end, word) in enumerate(tokens[:-1]):
-        if word not in _TITLE_SET and word not in _CONTACT_SET:
+    for i, (start, end, word) in enumerate(tokens):
+        if start in labels:
+            sure[i] = True
+        if i + 1 == len(tokens) or word not in _TITLE_SET and word not in _CONTACT_SET:
             continue
         gap = text[end : tokens[i + 1][0]]
         if word in _TITLE_SET and gap.strip(" \t") in ("", ".") or word in _CONTACT_SET and gap.strip(" \t") == "" and gap:
             # "ask for" and "call for" have one word more
             sure[i + 2 if tokens[i + 1][2] == "for" and i + 2 < len(tokens) else i + 1] = True
-    # most texts with a title or verb have no label
-    for a, b in windows if labels else []:
-        for m in _LABELLED.finditer(text, a, b):
-            if m.end() in starts:
-                sure[starts[m.end()]] = True
     return sure
 
 

@@ -43,28 +43,37 @@ STREETS = ["Street", "Road", "Marg", "Gali", "Lane", "Path", "Avenue", "Cross",
 _STREET = re.compile(rf"\b(?:{'|'.join(STREETS)})\b")
 _SPOKEN = re.compile(r"(?<![A-Za-z])(?:dot|DOT|Dot)(?![A-Za-z])|[\[({<]\s?(?:at|AT)\s?[\])}>]")
 _SPOKEN_WORDS = ("dot", "DOT", "Dot", "at)", "at]", "at}", "at>", "at )", "at ]", "AT)", "AT]", "AT ]", "AT )")
-_FOUR_OR_SEVEN = re.compile(r"(?<![0-9])(?:[0-9]{4}|[0-9]{7})(?![0-9])")
+_RUN = re.compile(r"[0-9]{4,}+")
+#: The longest stretches that can hold a number of ten digits or more.
+_STRETCH = re.compile(r"[0-9](?:[ .() -]{0,2}[0-9]){9,}+")
 ADDRESS = re.compile(rf"{_HOUSE},?\s+(?:[^\s,]+\s+){{1,4}}?(?:Street|Road|Marg|Gali|Lane|Path|Avenue|Cross|Sadak)\b(?:[^\n।]|\n(?!\n)){{0,110}}?(?<![\d/])(\d{{3}}\s?\d{{3}})(?![,/]?\d)", re.I)
 
 ENTITY = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("val", T.StringType())
 ENTITIES = T.ArrayType(ENTITY)
 
 
+#: Characters met so far, and the ASCII of those that have one.
+_MET: set[str] = set()
+_PLAIN: dict[str, str] = {}
+
+
 def _plain(text: str) -> str:
     """Digits and signs of other scripts and widths as ASCII, one character for one."""
     if text.isascii():
         return text
-    table = {}
-    for c in set(text):
-        if ord(c) > 127:
-            d = unicodedata.decimal(c, None)
-            if d is not None:
-                table[ord(c)] = str(d)
-            elif unicodedata.category(c) == "Pd":
-                table[ord(c)] = "-"
-            elif c in "＋＠．（）":
-                table[ord(c)] = unicodedata.normalize("NFKC", c)
-    return text.translate(table) if table else text
+    here = set(text)
+    for c in here - _MET:
+        d = unicodedata.decimal(c, None) if ord(c) > 127 else None
+        if d is not None:
+            _PLAIN[c] = str(d)
+        elif ord(c) > 127 and unicodedata.category(c) == "Pd":
+            _PLAIN[c] = "-"
+        elif c in "＋＠．（）":
+            _PLAIN[c] = unicodedata.normalize("NFKC", c)
+        _MET.add(c)
+    for c in here & _PLAIN.keys():
+        text = text.replace(c, _PLAIN[c])
+    return text
 
 
 def _around(pattern: re.Pattern, text: str, places: list[tuple[int, int]], before: int, after: int) -> list[re.Match]:
@@ -150,14 +159,16 @@ def entities(text: str | None, scores: people.Scores | None = None) -> list[tupl
         if free(m.start(), m.end()):
             add(m.start(), m.end(), "address", re.sub(r"\D", "", m[1]))
     # a number of letters and digits has four or seven digits in a row
-    fours = [(m.start(), m.end()) for m in _FOUR_OR_SEVEN.finditer(plain)]
+    fours = [m.span() for m in _RUN.finditer(plain) if m.end() - m.start() in (4, 7)]
     for m in _around(ID_LETTERS, plain, fours, 8, 4):
         before = plain[max(0, m.start() - 40) : m.start()]
         if free(m.start(), m.end()) and not NOT_ID.search(before) and _lettered(m[0], before):
             add(m.start(), m.end(), "id", re.sub(r"[^A-Z0-9]", "", m[0].upper()))
-    for m in _DIGITS.finditer(plain):
-        if free(m.start(), m.end()) and (got := _number(plain, m)):
-            add(m.start(), m.end(), *got)
+    for stretch in _STRETCH.finditer(plain):
+        # a sign and a bracket may stand before it, and what follows it is looked at
+        for m in _DIGITS.finditer(plain, max(0, stretch.start() - 2), stretch.end() + 2):
+            if free(m.start(), m.end()) and (got := _number(plain, m)):
+                add(m.start(), m.end(), *got)
     for a, b in people.mentions(text, scores or people.Scores(people.seeded(), [text])):
         if free(a, b):
             add(a, b, "name", name_value(text[a:b]))
