@@ -474,14 +474,15 @@ def test_names_come_from_all_documents(spark):
     docs = spark.createDataFrame([(t,) for t in filler + titled], "text string").where("text not like 'on that%' or pmod(xxhash64(text), 2) = 1")
     long = spark.createDataFrame([("the roof is new " * 1_500 + "then Mrs. Qelvo Tarnip came",)], "text string")
     all_ = docs.unionByName(long)
-    counts = {r["word"]: (r["n0"], r["n1"], r["n2"]) for r in names.counted(all_).collect()}
-    n = docs.where("text like 'on that%'").count()
-    assert 10 < n == counts["brizok"][1] == counts["wumpash"][2] and counts["qelvo"] == (0, 1, 0) and counts["tarnip"] == (0, 0, 1)
-    assert counts["water"] == (12_200, 0, 0) and counts["roof"][0] == 12_201 and counts[""][0] == 12_201 + n
     model = names.trained(all_)
     given, family = model.odds(["brizok", "wumpash", "qelvo", "tarnip", "water"])
     assert min(given[0], family[1], given[2], family[3]) > 0 > max(given[4], family[4])
+    assert given[0] > family[0] and family[1] > given[1] and given[2] > family[2] and family[3] > given[3]
     assert {"water", "roof"} <= model.common
+    counts = {r["word"]: (r["n0"], r["n1"], r["n2"]) for r in names.counted(all_).collect()}
+    n = docs.where("text like 'on that%'").count()
+    assert 10 < n == counts["brizok"][1] == counts["wumpash"][2] and counts["qelvo"] == (0, 1, 0) and counts["tarnip"] == (0, 0, 1)
+    assert counts["water"] == (12_200, 0, 0) and counts["roof"][0] == 12_201 and counts[""][0] == 12_201 + n
 
 
 def test_names_are_fitted_to_every_word_in_parts(spark, monkeypatch):
