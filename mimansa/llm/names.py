@@ -68,13 +68,20 @@ _LABEL = rf"(?:{LABELS}){_SP}*(?::{_SP}*)?"
 _SHAPES = rf"(?P<g1>{_W})(?:{_SP}+[A-Z]\.)?{_SP}+(?P<f1>{_W})|(?P<f2>{_W}),{_SP}*(?P<g2>{_W})|[A-Z]\.{_SP}?(?P<f3>{_W})"
 _LABELLED = re.compile(_LABEL)
 TITLED_NAME = re.compile(rf"(?:{_TITLE}|{_LABEL})(?:{_SHAPES})(?!\w)(?P<next>{_SP}+\w+)?")
-_LABEL_WORDS = ["name", "Name", "NAME", "naam", "नाम", "নাম", "பெயர்", "signed", "Signed", "patient", "Patient", "applicant", "Applicant", "witness", "Witness"]
-_ANCHORS = [*(t.capitalize() for t in TITLES), *_LABEL_WORDS]
-_CAPITAL = re.compile(rf"[A-Z][a-z]++(?={_SP}(?:[a-z]|(?:{'|'.join(w.capitalize() for w in sorted(NOT_PERSON))})\b))")
+#: Words that labels begin with, by letters that all of them hold; and those of other scripts.
+_LABEL_WORDS = {b"ame": (b"name", b"Name"), b"NAME": (b"NAME",), b"naam": (b"naam",), b"igned": (b"signed", b"Signed"), b"atient": (b"patient", b"Patient"), b"pplicant": (b"applicant", b"Applicant"), b"itness": (b"witness", b"Witness")}
+_LABEL_STEM = re.compile(b"|".join(_LABEL_WORDS))
+_OTHER_LABELS = ("नाम", "নাম", "பெயர்")
+_TITLE_WORDS = {t.capitalize().encode() for t in TITLES}
+_TITLE_RUNS = _TITLE_WORDS | {t + b"." for t in _TITLE_WORDS}
+#: A capitalised word that stands alone among words in small letters, or before the word of a place or firm.
+_ALONE = re.compile(rf"[A-Z](?:(?<=[a-z,]{_SP}[A-Z])[a-z]++(?={_SP}[a-z])|(?<![\w.][A-Z])[a-z]++(?={_SP}(?:{'|'.join(w.capitalize() for w in sorted(NOT_PERSON))})\b))")
 #: Letters, all else as spaces.
 _LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() else 32 for c in range(256))
 #: Runs of letters, "@" and full stops, all else as spaces.
 _RUNS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c in b"@." else 32 for c in range(256))
+#: What titles in other scripts begin with.
+_OTHER_STEMS = ("श्री", "डॉ", "कुमारी", "শ্রী", "ডা", "திரு", "டாக்டர்")
 OTHER_NAME = re.compile(rf"(?<!\S)(?:{OTHER_TITLES}){_SP}+([^\W\d_][^\s,.;:!?()।|]*)(?:{_SP}+([^\W\d_][^\s,.;:!?()।|]*))?(?:{_SP}+([^\s,.;:!?()।|]+))?")
 
 
@@ -147,10 +154,14 @@ def learn(words: list[str], labels: np.ndarray, cost: np.ndarray, epochs: int, s
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(mine)), labels[mine]] -= 1
             p *= cost[mine][:, None]
-            # the buckets of a small batch, or all of them
-            some, where = np.unique(grams, return_inverse=True) if len(grams) < BUCKETS // 4 else (np.arange(BUCKETS), grams)
+            # the buckets of the batch
             back = p * scale[:, None]
-            step = np.stack([np.bincount(where, weights=back[:, k][owners], minlength=len(some)) for k in range(3)])
+            if len(grams) < BUCKETS // 4:
+                some, where = np.unique(grams, return_inverse=True)
+                step = np.stack([np.bincount(where, weights=back[:, k][owners], minlength=len(some)) for k in range(3)])
+            else:
+                some = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
+                step = np.stack([np.bincount(grams, weights=np.take(back[:, k], owners), minlength=BUCKETS)[some] for k in range(3)])
             seen[some] += (step**2).sum(axis=0)
             weights[:, some] -= 0.5 * step / np.sqrt(seen[some])
             bias -= 0.02 * p.sum(axis=0) / cost[mine].sum()
@@ -181,51 +192,88 @@ def seeded() -> NameModel:
     return _SEEDED[0]
 
 
-def _titled(text: str) -> Iterator[re.Match]:
-    """Matches of TITLED_NAME, tried only where a title or label word stands."""
-    at = set()
-    for x in _ANCHORS:
-        k = text.find(x)
-        while k >= 0:
-            at.add(k)
-            k = text.find(x, k + 1)
+def flattened(text: str) -> bytes:
+    """A byte for each character, with "?" for all that is not ASCII."""
+    return text.encode("ascii", "replace")
+
+
+def words_of(flat: bytes) -> set[bytes]:
+    """The words in Latin letters of a flattened text."""
+    return set(flat.translate(_LETTERS).split())
+
+
+def places(text: str | bytes, word: str | bytes) -> Iterator[int]:
+    """Where a word stands, also inside others."""
+    k = text.find(word)
+    while k >= 0:
+        yield k
+        k = text.find(word, k + 1)
+
+
+def matches(pattern: re.Pattern, text: str, at: Iterable[int]) -> Iterator[re.Match]:
+    """What finditer gives, if a match can begin only at some places."""
     end = 0
     for k in sorted(at):
-        if k >= end and (m := TITLED_NAME.match(text, k)):
+        if k >= end and (m := pattern.match(text, k)):
             end = m.end()
             yield m
 
 
+def _labelled(words: Iterable[bytes]) -> set[bytes]:
+    """Words that can hold one that a label begins with."""
+    all_ = b" ".join([b"", *words, b""])
+    return {all_[all_.rfind(b" ", 0, m.start()) + 1 : all_.find(b" ", m.end())] for m in _LABEL_STEM.finditer(all_)}
+
+
+def _label_places(text: str, flat: bytes, latin: bool) -> list[int]:
+    """Where the words that labels begin with stand; `latin` tells whether one in Latin letters can."""
+    at = [k for stem, some in _LABEL_WORDS.items() if stem in flat for x in some for k in places(flat, x)] if latin else []
+    if not text.isascii():
+        at += [k for x in _OTHER_LABELS for k in places(text, x)]
+    return at
+
+
+def _titled(text: str, flat: bytes, runs: set[bytes], latin: bool) -> Iterator[re.Match]:
+    """Matches of TITLED_NAME, tried only where a title or label word stands; a title is a run of its own or follows "@"."""
+    titles = _TITLE_WORDS if b"@" in flat else {r.rstrip(b".") for r in runs & _TITLE_RUNS}
+    return matches(TITLED_NAME, text, [*(k for t in titles for k in places(flat, t)), *_label_places(text, flat, latin)])
+
+
 def evidence(texts: Iterable[str], counts: dict[str, list[int]]) -> None:
     """Adds what some texts say for certain: how often a word is other, a given and a family name; in small letters once a text."""
     small: Counter[bytes] = Counter()
+    alone: Counter[str] = Counter()
+    seen: set[bytes] = set()
+    labelled: set[bytes] = set()
 
-    def add(word: str, kind: int) -> None:
-        counts.setdefault(word[:WORD_CHARS], [0, 0, 0])[kind] += 1
+    def add(word: str, kind: int, n: int = 1) -> None:
+        counts.setdefault(word[:WORD_CHARS], [0, 0, 0])[kind] += n
 
     for text in texts:
-        named = set()
-        for m in _titled(text):
+        flat, named = flattened(text), set()
+        runs = set(flat.translate(_RUNS).split())
+        if new := runs - seen:
+            seen |= new
+            labelled |= _labelled(new)
+        for m in _titled(text, flat, runs, not runs.isdisjoint(labelled)):
             if (m["next"] or "").strip().lower() in NOT_PERSON:
                 continue
             for k, group in ((1, "g1"), (1, "g2"), (2, "f1"), (2, "f2"), (2, "f3")):
                 if m[group] and len(m[group]) > 2:
                     named.add(m[group].lower())
                     add(m[group].lower(), k)
-        for m in _CAPITAL.finditer(text):
-            a, b = m.span()
-            # alone among words in small letters, or before the word of a place or firm
-            if text[b + 1].islower():
-                alone = a > 1 and text[a - 1].isspace() and text[a - 1] != "\n" and (text[a - 2] == "," or "a" <= text[a - 2] <= "z")
-            else:
-                alone = not a or not (text[a - 1].isalnum() or text[a - 1] in "_.")
-            if alone and (word := m[0].lower()) not in named:
-                add(word, 0)
-        words = set(text.encode("utf-8", "replace").translate(_RUNS).split())
-        small.update(words - {w.encode() for w in named} if named else words)
+        others = _ALONE.findall(text)
+        if named:
+            alone.update(w for w in others if w.lower() not in named)
+            runs -= {w.encode() for w in named}
+        else:
+            alone.update(others)
+        small.update(runs)
+    for word, n in alone.items():
+        add(word.lower(), 0, n)
     for run, n in small.items():
         if len(run) > 2 and run.isalpha() and run.islower():
-            counts.setdefault(run[:WORD_CHARS].decode(), [0, 0, 0])[0] += n
+            add(run.decode(), 0, n)
 
 
 _COUNTS = "word string, n0 long, n1 long, n2 long"
@@ -293,7 +341,8 @@ _STATE = "part int, times long, state binary"
 
 def _learner(before: Broadcast, cost: np.ndarray, root: float, epochs: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def learned(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("word")
+        # as bytes, which are sorted faster and in the same order
+        frame = frame.iloc[np.argsort(frame["word"].to_numpy(dtype=f"S{WORD_CHARS}"), kind="stable")]
         labels = frame["kind"].to_numpy()
         weighs = cost[labels] * np.where(labels == 0, np.sqrt(frame["n0"].to_numpy()) / root, 1.0)
         state = learn(frame["word"].tolist(), labels, weighs, epochs, before.value, seed)
@@ -318,24 +367,44 @@ def _averaged(states: DataFrame, n: int) -> np.ndarray:
     return total.reshape(4, BUCKETS + 1).astype(np.float32)
 
 
-def _words(text: str) -> set[bytes]:
-    return set(text.encode("utf-8", "replace").translate(_LETTERS).split())
-
-
 class Scores:
-    """The odds of the words of a batch of texts."""
-
-    def __init__(self, model: NameModel, texts: Iterable[str]):
-        words = {w.decode() for w in set().union(*(_words(t) for t in texts))}
-        low = sorted({w.lower() for w in words if len(w) > 2})
-        given, family = model.odds(low)
-        self.given, self.family = dict(zip(low, given.tolist())), dict(zip(low, family.tolist()))
+    """The odds of the words of some texts, and of more that are added."""
+
+    def __init__(self, model: NameModel, texts: Iterable[str] = ()):
+        self.model, self.common, self.small = model, model.common, {w.encode() for w in model.common}
+        self.clear()
+        self.add(set().union(*(words_of(flattened(t)) for t in texts)))
+
+    def clear(self) -> None:
+        self.seen: set[bytes] = set()
+        self.given: dict[str, float] = {}
+        self.family: dict[str, float] = {}
+        #: Words in small letters that can be a family name, and that are likely names.
+        self.able: set[bytes] = set()
+        self.likely: set[bytes] = set()
         #: Words that can be the family name of a mention; in small letters they need more.
-        hot = {w for w, z in self.family.items() if z >= LEAST}
-        self.hot = {w for w in words if w.lower() in hot and (w[0].isupper() or w not in model.common and self.family.get(w, -9.0) >= -1.5)}
-        self.common = model.common
+        self.hot: set[str] = set()
         #: Words of which every pair that passes has one, in small letters or not.
-        self.strong = {w.encode() for w in words if len(w) > 2 and max(self.given[w.lower()], self.family[w.lower()]) >= PAIR / 2 and w.lower() not in NOT_PERSON and not (w.islower() and w in model.common)}
+        self.strong: set[bytes] = set()
+        #: Words that can hold one that a label begins with.
+        self.labelled: set[bytes] = set()
+
+    def add(self, words: set[bytes]) -> None:
+        """Scores the words that are new; where too many are held, all others are dropped first."""
+        if len(self.seen) > HELD_WORDS:
+            self.clear()
+        new = [w for w in words - self.seen if len(w) > 2]
+        self.seen.update(new)
+        lower = [w.lower() for w in new]
+        low = [w for w in (w.decode() for w in set(lower)) if w not in self.family]
+        given, family = self.model.odds(low)
+        self.given.update(zip(low, given.tolist()))
+        self.family.update(zip(low, family.tolist()))
+        self.able.update(low[i].encode() for i in np.flatnonzero(family >= LEAST))
+        self.likely.update(low[i].encode() for i in np.flatnonzero(np.maximum(given, family) >= PAIR / 2) if low[i] not in NOT_PERSON)
+        self.hot.update(w.decode() for w, x in zip(new, lower) if x in self.able and (w[:1].isupper() or w not in self.small and self.family.get(w.decode(), -9.0) >= -1.5))
+        self.strong.update(w for w, x in zip(new, lower) if x in self.likely and not (w == x and w in self.small))
+        self.labelled |= _labelled(new)
 
     def of(self, word: str, given: int) -> float:
         return (self.given if given else self.family).get(word.lower(), -9.0)
@@ -354,19 +423,20 @@ def _case(word: str) -> int:
     return 0 if word[0].isupper() and word[1:].islower() else 1 if word.isupper() else 2 if word.islower() else 3
 
 
-def mentions(text: str, scores: Scores) -> list[tuple[int, int]]:
-    """Spans of the names of persons in a text, without overlaps."""
+def mentions(text: str, scores: Scores, flat: bytes | None = None, words: set[bytes] | None = None) -> list[tuple[int, int]]:
+    """Spans of the names of persons in a text, without overlaps. `flat` and `words` are those of the text, if they are there."""
     out = _other_scripts(text) if not text.isascii() else []
     # only the surroundings of likely names, of initials, and of titles and labels before a capital are looked at
-    words = _words(text)
-    at, labels = _spots(text, words & scores.strong), set()
-    for a, b in _spots(text, words & _LEADS):
+    flat = flattened(text) if flat is None else flat
+    words = words_of(flat) if words is None else words
+    at, labels = _spots(flat, words & scores.strong), set()
+    for a, b in _spots(flat, words & _LEADS):
         if _LED.match(text, b):
             at.append((a, b))
-    for a, b in _labels(text):
-        at.append((a, b))
-        labels.add(b)
-    for m in _INITIAL.finditer(text):
+    for m in matches(_LABELLED, text, _label_places(text, flat, not words.isdisjoint(scores.labelled))):
+        at.append(m.span())
+        labels.add(m.end())
+    for m in matches(_INITIAL, text, [k - 1 for k in places(flat, b".") if flat[max(0, k - 1) : k].isupper()]):
         if m[1] in scores.hot:
             at.append(m.span())
     if not at:
@@ -395,7 +465,7 @@ def mentions(text: str, scores: Scores) -> list[tuple[int, int]]:
         # what titles told holds in the rest of the text too
         more = {w for w in words if w.lower().decode() in known} - scores.strong if known else None
         if more:
-            at += _spots(text, more)
+            at += _spots(flat, more)
             tokens = [(m.start(), m.end(), m[0]) for a, b in _windows(text, at) for m in _WORD.finditer(text, a, b)]
             moved = {t[0]: i for i, t in enumerate(tokens)}
             sure = {moved[a]: True for a, i in starts.items() if i in sure}
@@ -407,33 +477,17 @@ def mentions(text: str, scores: Scores) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _spots(text: str, words: set[bytes]) -> list[tuple[int, int]]:
+def _spots(flat: bytes, words: set[bytes]) -> list[tuple[int, int]]:
     """Where some words stand, also inside others."""
     at = []
     for w in words:
-        w = w.decode()
-        k = text.find(w)
+        k = flat.find(w)
         while k >= 0:
             at.append((k, k + len(w)))
-            k = text.find(w, k + len(w))
+            k = flat.find(w, k + len(w))
     return at
 
 
-def _labels(text: str) -> Iterator[tuple[int, int]]:
-    """Where labels stand."""
-    at = set()
-    for x in _LABEL_WORDS:
-        k = text.find(x)
-        while k >= 0:
-            at.add(k)
-            k = text.find(x, k + 1)
-    end = 0
-    for k in sorted(at):
-        if k >= end and (m := _LABELLED.match(text, k)):
-            end = m.end()
-            yield m.span()
-
-
 def _windows(text: str, at: list[tuple[int, int]], reach: int = 60) -> list[tuple[int, int]]:
     """The surroundings of some places, widened to white space and merged."""
     out: list[tuple[int, int]] = []
@@ -492,21 +546,24 @@ def _candidates(text: str, tokens: list, i: int, sure: dict[int, bool], scores:
     usual = SMALL if case == 2 else PAIR
     firm = word.lower() in NOT_PERSON
     # the token as a family name behind a given name or an initial
-    if i and not firm and clear(start, end, i) and not (i + 1 < n and gap(i).strip(" \t") == "," and i in sure):
-        p = i - 1
-        if spaces(p) and _case(tokens[p][2]) == case and len(tokens[p][2]) > 2 and clear(tokens[p][0], end, i):
+    p = i - 1
+    pair = i and not firm and len(tokens[p][2]) > 2 and _case(tokens[p][2]) == case and spaces(p)
+    initial = i and not firm and len(tokens[p][2]) == 1 and gap(p).rstrip(" \t") == "."
+    if (pair or initial) and clear(start, end, i) and not (i + 1 < n and gap(i).strip(" \t") == "," and i in sure):
+        if pair and clear(tokens[p][0], end, i):
             if tokens[p][2].lower() not in NOT_PERSON and tokens[p][2] not in _TITLE_SET and tokens[p][2] not in scores.common:
                 yield tokens[p][0], end, least(p, usual), [(tokens[p][2], 1), (word, 0)]
-        elif len(tokens[p][2]) == 1 and gap(p).rstrip(" \t") == ".":
+        elif initial:
             q = p - 1
             if q >= 0 and spaces(q) and _case(tokens[q][2]) == case and len(tokens[q][2]) > 2 and clear(tokens[q][0], end, i) and tokens[q][2] not in _TITLE_SET:
                 yield tokens[q][0], end, least(q, usual), [(tokens[q][2], 1), (word, 0)]
             if tokens[p][2].isupper() and case != 2 and clear(tokens[p][0], end, i):
                 yield tokens[p][0], end, least(p, INITIAL), [(word, 0)]
     # the family name first, then a comma and the given name; in a list of names the comma parts two of them
-    behind = i and (gap(i - 1).rstrip(" \t") == "." and len(tokens[i - 1][2]) == 1 or spaces(i - 1) and _case(tokens[i - 1][2]) == case and tokens[i - 1][2] not in _TITLE_SET and scores.of(tokens[i - 1][2], 1) >= 0)
-    ahead = i + 2 < n and spaces(i + 1) and _case(tokens[i + 2][2]) == case and tokens[i + 2][2] in scores.hot
-    if not firm and not behind and not ahead and i + 1 < n and tokens[i + 1][2].lower() not in NOT_PERSON and gap(i)[:1] == "," and gap(i)[1:].strip(" \t") == "" and _case(tokens[i + 1][2]) == case and len(tokens[i + 1][2]) > 2 and tokens[i + 1][2] not in scores.common:
+    comma = i + 1 < n and text[end : end + 1] == "," and not firm and gap(i)[1:].strip(" \t") == "" and tokens[i + 1][2].lower() not in NOT_PERSON and _case(tokens[i + 1][2]) == case and len(tokens[i + 1][2]) > 2 and tokens[i + 1][2] not in scores.common
+    behind = comma and i and (gap(i - 1).rstrip(" \t") == "." and len(tokens[i - 1][2]) == 1 or spaces(i - 1) and _case(tokens[i - 1][2]) == case and tokens[i - 1][2] not in _TITLE_SET and scores.of(tokens[i - 1][2], 1) >= 0)
+    ahead = comma and i + 2 < n and spaces(i + 1) and _case(tokens[i + 2][2]) == case and tokens[i + 2][2] in scores.hot
+    if comma and not behind and not ahead:
         stop, last = tokens[i + 1][1], i + 1
         if i + 2 < n and len(tokens[i + 2][2]) == 1 and spaces(i + 1) and text[tokens[i + 2][1] : tokens[i + 2][1] + 1] == ".":
             stop, last = tokens[i + 2][1] + 1, i + 2
@@ -524,7 +581,7 @@ def _candidates(text: str, tokens: list, i: int, sure: dict[int, bool], scores:
 def _other_scripts(text: str) -> list[tuple[int, int]]:
     """Names in other scripts behind a title: one or two words, up to a function word."""
     out = []
-    for m in OTHER_NAME.finditer(text):
+    for m in matches(OTHER_NAME, text, [k for x in _OTHER_STEMS for k in places(text, x)]):
         if _WORD.match(m[1]) or m[1] in ENDS_NAME or m[1] in NOT_PERSON_OTHER or m[2] in NOT_PERSON_OTHER:
             continue
         two = m[2] is not None and m[2] not in ENDS_NAME and not _WORD.match(m[2])

@@ -14,7 +14,9 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,18 +44,23 @@ _HOUSE = r"(?:(?:House|H\.?|Plot|Flat|Door|Shop|Room|Quarter)\s*(?:No\.?|#)?\s*[
 STREETS = ["Street", "Road", "Marg", "Gali", "Lane", "Path", "Avenue", "Cross", "Sadak", "STREET", "ROAD", "MARG", "GALI", "LANE", "street", "road", "marg", "gali", "lane"]
 _STREET = re.compile(rf"\b(?:{'|'.join(STREETS)})\b")
 _SPOKEN = re.compile(r"(?<![A-Za-z])(?:dot|DOT|Dot)(?![A-Za-z])|[\[({<]\s?(?:at|AT)\s?[\])}>]")
-_SPOKEN_WORDS = ("dot", "DOT", "Dot", "at)", "at]", "at}", "at>", "at )", "at ]", "AT)", "AT]", "AT ]", "AT )")
-_RUN = re.compile(r"[0-9]{4,}+")
+_DOT_WORDS, _AT_WORDS, _STREET_WORDS = {b"dot", b"DOT", b"Dot"}, {b"at", b"AT"}, {x.encode() for x in STREETS}
+_RUN = re.compile(rb"[0-9]{4,}+")
+#: All digits as 0.
+_ZEROS = bytes(48 if 48 <= c < 58 else c for c in range(256))
 #: The longest stretches that can hold a number of ten digits or more.
-_STRETCH = re.compile(r"[0-9](?:[ .() -]{0,2}[0-9]){9,}+")
+_STRETCH, _TEN = re.compile(r"[0-9](?:[ .() -]{0,2}[0-9]){9,}+"), b"0" * 10
 ADDRESS = re.compile(rf"{_HOUSE},?\s+(?:[^\s,]+\s+){{1,4}}?(?:Street|Road|Marg|Gali|Lane|Path|Avenue|Cross|Sadak)\b(?:[^\n।]|\n(?!\n)){{0,110}}?(?<![\d/])(\d{{3}}\s?\d{{3}})(?![,/]?\d)", re.I)
 
+#: Characters of texts whose words are held at once.
+SLICE_CHARS = 1 << 21
+
 ENTITY = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("val", T.StringType())
 ENTITIES = T.ArrayType(ENTITY)
 
 
-#: Characters met so far, and the ASCII of those that have one.
-_MET: set[str] = set()
+#: Characters by their code that have not been met, or have an ASCII one; and those that have one. Codes of pairs stay open.
+_OPEN = np.arange(1 << 16) > 127
 _PLAIN: dict[str, str] = {}
 
 
@@ -61,18 +68,23 @@ def _plain(text: str) -> str:
     """Digits and signs of other scripts and widths as ASCII, one character for one."""
     if text.isascii():
         return text
-    here = set(text)
-    for c in here - _MET:
-        d = unicodedata.decimal(c, None) if ord(c) > 127 else None
-        if d is not None:
-            _PLAIN[c] = str(d)
-        elif ord(c) > 127 and unicodedata.category(c) == "Pd":
-            _PLAIN[c] = "-"
-        elif c in "＋＠．（）":
-            _PLAIN[c] = unicodedata.normalize("NFKC", c)
-        _MET.add(c)
-    for c in here & _PLAIN.keys():
-        text = text.replace(c, _PLAIN[c])
+    codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
+    some = codes[_OPEN[codes]]
+    if not len(some):
+        return text
+    for c in map(chr, set(some.tolist())) if len(codes) == len(text) else set(text):
+        if c not in _PLAIN and ord(c) > 127:
+            d = unicodedata.decimal(c, None)
+            if d is not None:
+                _PLAIN[c] = str(d)
+            elif unicodedata.category(c) == "Pd":
+                _PLAIN[c] = "-"
+            elif c in "＋＠．（）":
+                _PLAIN[c] = unicodedata.normalize("NFKC", c)
+            elif ord(c) < 0xD800 or 0xDFFF < ord(c) < 1 << 16:
+                _OPEN[ord(c)] = False
+        if c in _PLAIN:
+            text = text.replace(c, _PLAIN[c])
     return text
 
 
@@ -98,6 +110,21 @@ def _around(pattern: re.Pattern, text: str, places: list[tuple[int, int]], befor
     return out
 
 
+def _id_starts(flat: bytes) -> Iterator[int]:
+    """Where a number of letters and digits can begin: five letters before four digits in a row, or three before seven."""
+    zeros = flat.translate(_ZEROS)
+    a = zeros.find(b"0000")
+    while a >= 0:
+        b = _RUN.match(flat, a).end()
+        start = a - {4: 5, 7: 3}.get(b - a, a + 1)
+        if start >= 0:
+            # a sign may stand between them
+            start -= not flat[a - 1 : a].isalpha()
+        if start >= 0:
+            yield start
+        a = zeros.find(b"0000", b)
+
+
 def _number(text: str, m: re.Match) -> tuple[str, str] | None:
     raw, digits = m[0], re.sub(r"\D", "", m[0])
     before = text[max(0, m.start() - 40) : m.start()]
@@ -126,14 +153,16 @@ def _lettered(raw: str, before: str) -> bool:
     return " " not in raw or word not in _PROSE and bool(_CARD.search(before))
 
 
-def entities(text: str | None, scores: people.Scores | None = None) -> list[tuple[int, int, str, str]]:
+def entities(text: str | None, scores: people.Scores | None = None, words: set[bytes] | None = None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, val) of a text, in order, without overlaps; an address spans from the house to the PIN.
 
-    `scores` holds the odds of the words; without it those of the common names alone.
+    `scores` holds the odds of the words; without it those of the common names alone. `words` are those of the text, if they are there.
     """
     if not text:
         return []
     plain = _plain(text)
+    flat = people.flattened(plain)
+    words = people.words_of(flat) if words is None else words
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -144,32 +173,34 @@ def entities(text: str | None, scores: people.Scores | None = None) -> list[tupl
         found.append((a, b, kind, val))
         taken.append((a, b))
 
-    ats = [(m.start(), m.end()) for m in re.finditer("[@＠]", plain)]
+    # each pattern is tried only where a sign or word that it needs stands
+    ats = [(k, k + 1) for k in people.places(flat, b"@")]
     for m in _around(EMAIL_PLAIN, plain, ats, 60, 60):
         add(m.start(), m.end(), "email", re.sub(r"\s", "", m[0]).replace("＠", "@").lower())
-    dots = [(m.start(), m.end()) for m in _SPOKEN.finditer(plain)] if any(x in plain for x in _SPOKEN_WORDS) else []
+    spoken = [k for w in words & _DOT_WORDS for k in people.places(flat, w)]
+    if not words.isdisjoint(_AT_WORDS):
+        spoken += [k for c in (b"[", b"(", b"{", b"<") for k in people.places(flat, c)]
+    dots = [m.span() for m in people.matches(_SPOKEN, plain, spoken)]
     for m in _around(EMAIL_SPOKEN, plain, dots, 90, 60):
         # a bare "at" is a word, so it needs a spoken dot
         if not free(m.start(), m.end()) or not re.search(r"\bdot\b|[\[({<]\s*at\s*[\])}>]", m[0], re.I):
             continue
         val = re.sub(r"\s*[\[({<]?\s*\bdot\b\s*[\])}>]?\s*", ".", re.sub(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+", "@", m[0], flags=re.I), flags=re.I)
         add(m.start(), m.end(), "email", re.sub(r"\s", "", val).lower())
-    streets = [(m.start(), m.end()) for m in _STREET.finditer(plain)] if any(x in plain for x in STREETS) else []
+    streets = [m.span() for m in people.matches(_STREET, plain, [k for w in words & _STREET_WORDS for k in people.places(flat, w)])]
     for m in _around(ADDRESS, plain, streets, 80, 180):
         if free(m.start(), m.end()):
             add(m.start(), m.end(), "address", re.sub(r"\D", "", m[1]))
-    # a number of letters and digits has four or seven digits in a row
-    fours = [m.span() for m in _RUN.finditer(plain) if m.end() - m.start() in (4, 7)]
-    for m in _around(ID_LETTERS, plain, fours, 8, 4):
+    for m in people.matches(ID_LETTERS, plain, _id_starts(flat)):
         before = plain[max(0, m.start() - 40) : m.start()]
         if free(m.start(), m.end()) and not NOT_ID.search(before) and _lettered(m[0], before):
             add(m.start(), m.end(), "id", re.sub(r"[^A-Z0-9]", "", m[0].upper()))
-    for stretch in _STRETCH.finditer(plain):
+    for stretch in _STRETCH.finditer(plain) if _TEN in flat.translate(_ZEROS, b" .()-") else ():
         # a sign and a bracket may stand before it, and what follows it is looked at
         for m in _DIGITS.finditer(plain, max(0, stretch.start() - 2), stretch.end() + 2):
             if free(m.start(), m.end()) and (got := _number(plain, m)):
                 add(m.start(), m.end(), *got)
-    for a, b in people.mentions(text, scores or people.Scores(people.seeded(), [text])):
+    for a, b in people.mentions(text, scores or people.Scores(people.seeded(), [text]), flat, words):
         if free(a, b):
             add(a, b, "name", name_value(text[a:b]))
     return sorted(found)
@@ -180,16 +211,37 @@ def name_value(raw: str) -> str:
     return " ".join(w for w in re.split(r"[\s.,]+", raw.lower()) if w)
 
 
+def _slices(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in their order, in lists that end where they have SLICE_CHARS characters."""
+    some, chars = [], 0
+    for t in texts:
+        some.append(t)
+        chars += len(t or "")
+        if chars >= SLICE_CHARS:
+            yield some
+            some, chars = [], 0
+    yield some
+
+
+def _entities(texts: list[str | None], scores: people.Scores) -> list[list[tuple[int, int, str, str]]]:
+    """The entities of each text, which is cut into words once, for the scores and the search."""
+    words = [people.words_of(people.flattened(t or "")) for t in texts]
+    scores.add(set().union(*words))
+    return [entities(t, scores, w) for t, w in zip(texts, words)]
+
+
 def entities_of(docs: DataFrame, model: people.NameModel, text: str = "text") -> Column:
-    """The entities of every text as a column; the words of a batch are scored once."""
+    """The entities of every text as a column; a word is scored once for as long as it is held."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(ENTITIES)
-    def find(texts: pd.Series) -> pd.Series:
-        scores = people.Scores(shared.value, [t for t in texts if t])
-        return texts.map(lambda t: entities(t, scores))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scores = people.Scores(shared.value)
+        for texts in batches:
+            yield pd.Series([e for some in _slices(texts) for e in _entities(some, scores)], dtype=object)
 
-    return find(F.col(text))
+    # else a filter on the entities is pushed below them, which finds them twice
+    return find.asNondeterministic()(F.col(text))
 
 
 def detect(docs: DataFrame, doc: str = "doc_id", text: str = "text", model: people.NameModel | None = None) -> DataFrame:

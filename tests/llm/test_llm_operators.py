@@ -501,3 +501,39 @@ def test_names_are_fitted_to_every_word_in_parts(spark, monkeypatch):
     for model in (one, many):
         given, family = model.odds([*rare, "brizoke", "wumpashi"])
         assert (np.maximum(given, family)[:-2] < 0).mean() > 0.99 and given[-2] > 0 and family[-1] > 0
+
+
+class Once(names.NameModel):
+    """A model that scores no word twice."""
+
+    def odds(self, words):
+        asked = self.__dict__.setdefault("asked", set())
+        assert not asked & set(words)
+        asked.update(words)
+        return super().odds(words)
+
+
+def test_words_are_scored_once_for_all_batches(spark):
+    once = Once(names.seeded().weights, names.SEEDS)
+    df = spark.createDataFrame([(i, f"take Rahul Sharma along to house {i} in the old town") for i in range(40)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert sorted(tuple(r) for r in personal.found(df, once).collect()) == [(i, "name", "rahul sharma") for i in range(40)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_patterns_are_tried_wherever_they_can_match():
+    rng = random.Random(6)
+    some = ["ABCDE", "abcde", "XYZ", "12", "1234", "1234567", "2024", " ", " ", "-", "/", ".", "(", ") ", "é", "अ", "Q", "A. ", "Sharma", "rao", "name is ", "SURNAME: ", "श्री ", "डॉ. ", "शर्मा ", "\n"]
+    found = 0
+    for _ in range(4_000):
+        text = "".join(rng.choices(some, k=14))
+        flat = names.flattened(text)
+        for pattern, at in ((personal.ID_LETTERS, personal._id_starts(flat)), (names._LABELLED, names._label_places(text, flat, bool(names._labelled(names.words_of(flat)))))):
+            spans = [m.span() for m in names.matches(pattern, text, at)]
+            assert spans == [m.span() for m in pattern.finditer(text)]
+            found += len(spans)
+        assert personal._TEN in flat.translate(personal._ZEROS, b" .()-") or not personal._STRETCH.search(text)
+    assert found > 1_000
+    assert [e[3] for e in personal.entities("Write to asha.rao {at } example.org or to ravi <at > post.in")] == ["asha.rao@example.org", "ravi@post.in"]
