@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mimansa.operators import blocks, index, rank
+from mimansa.operators import blocks, catalog, index, rank
 from tests.conftest import rows
 
 
@@ -56,3 +56,20 @@ def test_rounded(spark):
     x = [0.1234565, 1.0000005, 2.5, 0.9999995, -0.0000015, 123.4567895, 0.0, float("inf")]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert blocks.rounded(np.array(x), 6).tolist() == want
+
+
+def test_phrases_in_place(spark):
+    docs = spark.createDataFrame([("a", "b a b a b"), ("b", "a"), ("c", "b"), ("d", None), ("e", "a b")], "doc_id string, text string").coalesce(1)
+    asked = spark.createDataFrame([("p", ["a", "b"]), ("r", ["b", "a", "b"]), ("none", []), ("one", ["a"]), ("no", ["a", "zzz"])], "query_id string, tokens array<string>")
+    found = index.phrase_starts(index.analysed(docs), asked)
+    assert rows(found) == [("one", "a", [1, 3]), ("one", "b", [0]), ("one", "e", [0]), ("p", "a", [1, 3]), ("p", "e", [0]), ("r", "a", [0, 2])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_brands(spark):
+    names = ["dolo", "dolo 650", "dolo tablet", "dolo 650 tablet", "dola", "calpol", "650", "x", "dolo forte"]
+    attributes = catalog.attributes(spark.createDataFrame([(i, n, "s", 650.0, "mg", "tablet") for i, n in enumerate(names)], "row_id int, brand string, salt string, strength_value double, strength_unit string, form string"))
+    asked = catalog.parsed_queries(spark.createDataFrame([("1", "dolo"), ("2", "dolo 650 mg"), ("3", "dolo 650 tablet"), ("4", "dolo tablet"), ("5", "?"), ("6", "x")], "query_id string, query string"))
+    near = catalog.near_brands(asked, attributes, 0.5)
+    every = catalog.brand_cosines(asked, attributes).where("cosine >= 0.5")
+    assert rows(near, "query_id", "brand", "cosine") == rows(every, "query_id", "brand", "cosine") != []
