@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mimansa.operators import blocks, catalog, index, rank
+from mimansa.operators import blocks, catalog, index, netscore, rank, search
 from tests.conftest import rows
 
 
@@ -66,6 +66,19 @@ def test_phrases_in_place(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_net_best_of_blocks(spark):
+    rng = random.Random(5)
+    zone = lambda: rng.choice(["benefits", "other", None])
+    z = spark.createDataFrame(
+        [(f"z{i}", " ".join(rng.choice("abcdefgh") for _ in range(6)), zone(), rng.choice([None, 0.0, rng.random()]), f"2025-{rng.randint(1, 12):02d}-01T00:00:00", None) for i in range(120)],
+        "doc_id string, text string, zone string, g_score double, last_changed_at string, url string",
+    ).repartition(3)
+    asked = spark.createDataFrame([("1", "a"), ("2", "b c"), ("3", '"a b"')], "query_id string, query string")
+    net = netscore.NetConfig({"cosine": 2.0, "g_score": 1.0, "freshness": 0.5}, {"benefits": 1.2, "other": -0.5}, 30.0, "2026-01-01T00:00:00")
+    args = (z, asked, 5, {"zone": "benefits"}, net)
+    assert rows(search.search(*args), "query_id", "rank", "doc_id") == rows(search.search(*args, corpus=index.build(z)), "query_id", "rank", "doc_id") != []
+
+
 def test_near_brands(spark):
     names = ["dolo", "dolo 650", "dolo tablet", "dolo 650 tablet", "dola", "calpol", "650", "x", "dolo forte"]
     attributes = catalog.attributes(spark.createDataFrame([(i, n, "s", 650.0, "mg", "tablet") for i, n in enumerate(names)], "row_id int, brand string, salt string, strength_value double, strength_unit string, form string"))
